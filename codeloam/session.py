@@ -56,12 +56,12 @@ def width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows evenly for a CPU-bound stage; scans of few large files would else run as few tasks.
+    """Spread the rows of a scan over all cores by the hash of ``keys`` if the scan has too few tasks for them.
 
-    With ``keys`` rows go by their hash, which stays the same if a task is retried.
+    A scan that has enough tasks, as any large one, is left alone and shuffles nothing.
     """
     n = width(df.sparkSession)
-    return df.repartition(n, *[F.col(k) for k in keys]) if keys else df.repartition(n)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *[F.col(k) for k in keys])
 
 
 def salt_width(spark: SparkSession) -> int:
