@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloam.llm import leaks
+from codeloam.llm import leaks, pii
 from codeloam.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +44,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leak with its extent: shared and near windows, longest common run, weighted-shingle similarity."""
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).where("shared_runs > 0 or similarity >= 0.8")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of personal information by source offset."""
+    found = pii.mask_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_name"), with_text=False)
+    return found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.begin_at", "s.pii_kind")
+
+
+@query("p9_masked")
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with typed placeholders."""
+    done = pii.mask_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_name"))
+    return done.select("doc_id", "masked", F.size("spans").alias("occurrences"))
