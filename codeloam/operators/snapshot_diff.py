@@ -44,13 +44,16 @@ def content_digest() -> list[Column]:
     return [F.xxhash64(F.lit(1), *parts).alias("d1"), F.xxhash64(F.lit(2), *parts).alias("d2")]
 
 
-def _levels(leaves: DataFrame, depth: int) -> list[DataFrame]:
-    """Digests by level, root first; a parent's digest is the hash of its children's in order."""
-    out = [leaves]
-    for _ in range(depth):
-        kids = out[0].withColumn("up", F.shiftrightunsigned("node", FANOUT_BITS))
-        out.insert(0, kids.groupBy("delivery_no", F.col("up").alias("node")).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("node", "digest")))).alias("digest")))
-    return out
+def _tree(leaves: DataFrame, depth: int) -> DataFrame:
+    """(delivery_no, level, node, digest) of every tree node, the root at level 0.
+
+    A node's digest is the xor over its leaves' (node, digest) hashes, so all levels come from one aggregation that
+    combines map-side.
+    """
+    up = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    nodes = leaves.select("delivery_no", F.xxhash64("node", "digest").alias("h"), "node", up.alias("level"))
+    nodes = nodes.withColumn("node", F.expr(f"shiftrightunsigned(node, {FANOUT_BITS} * ({depth} - level))"))
+    return nodes.groupBy("delivery_no", "level", "node").agg(F.bit_xor("h").alias("digest"))
 
 
 def snapshot_changes(snapshots: DataFrame, deliveries: DataFrame, rows_hint: int | None = None) -> DataFrame:
@@ -75,15 +78,17 @@ def snapshot_changes(snapshots: DataFrame, deliveries: DataFrame, rows_hint: int
     state = cut(state.select("delivery_no", "target", "node", "d1", "d2"))
     leaves = state.groupBy("delivery_no", "node").agg(F.bit_xor(F.xxhash64("target", "d1", "d2")).alias("digest"))
 
+    tree = cut(_tree(leaves, depth))
     differing = None
-    for level in _levels(leaves, depth):
-        after = level.join(steps, level.delivery_no == steps.after).select("after", "node", F.col("digest").alias("new"), F.lit(None).cast("bigint").alias("old"))
-        before = level.join(steps, level.delivery_no == steps.before).select("after", "node", F.lit(None).cast("bigint").alias("new"), F.col("digest").alias("old"))
+    for level in range(depth + 1):
+        at = tree.where(F.col("level") == level)
+        after = at.join(steps, at.delivery_no == steps.after).select("after", "node", F.col("digest").alias("new"), F.lit(None).cast("bigint").alias("old"))
+        before = at.join(steps, at.delivery_no == steps.before).select("after", "node", F.lit(None).cast("bigint").alias("new"), F.col("digest").alias("old"))
         both = after.union(before)
         if differing is not None:
             up = differing.select("after", F.col("node").alias("up"))
             both = both.withColumn("up", F.shiftrightunsigned("node", FANOUT_BITS)).join(up, ["after", "up"], "left_semi").drop("up")
-        differing = both.groupBy("after", "node").agg(F.max("new").alias("new"), F.max("old").alias("old")).where("not (new <=> old)").select("after", "node")
+        differing = cut(both.groupBy("after", "node").agg(F.max("new").alias("new"), F.max("old").alias("old")).where("not (new <=> old)").select("after", "node"))
 
     # a row of a differing leaf takes part as the new side of its own delivery and as the old side of the next
     sides = F.explode(F.array(F.struct(F.col("to_it").alias("after"), F.lit(True).alias("is_new")), F.struct(F.col("from_it").alias("after"), F.lit(False).alias("is_new"))))
