@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloam.llm import leaks, pii
+from codeloam.llm import leaks, packing, pii
 from codeloam.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,19 @@ def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with typed placeholders."""
     done = pii.mask_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_name"))
     return done.select("doc_id", "masked", F.size("spans").alias("occurrences"))
+
+
+@query("p7_containers")
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or piece of one longer than the capacity, for each capacity."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
+
+
+@query("p7_fill")
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers used, the least that any packing needs, and the share of their room that is filled."""
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacity"))
+    boxes = packed.groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"))
+    caps = table(spark, sf_dir, "pack_capacity").select("capacity_id", "max_tokens")
+    per = boxes.groupBy("capacity_id").agg(F.count("*").alias("containers"), F.sum("n_tokens").alias("tokens"), F.sum("n_pieces").alias("pieces"))
+    return per.join(caps, "capacity_id").select("capacity_id", "containers", F.ceil(F.col("tokens") / F.col("max_tokens")).alias("least_containers"), "pieces", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("max_tokens")), 6).alias("filled"))
