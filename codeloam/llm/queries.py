@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloam.llm import leaks, packing, pii
+from codeloam.llm import leaks, neardup, packing, pii
 from codeloam.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,27 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     caps = table(spark, sf_dir, "pack_capacity").select("capacity_id", "max_tokens")
     per = boxes.groupBy("capacity_id").agg(F.count("*").alias("containers"), F.sum("n_tokens").alias("tokens"), F.sum("n_pieces").alias("pieces"))
     return per.join(caps, "capacity_id").select("capacity_id", "containers", F.ceil(F.col("tokens") / F.col("max_tokens")).alias("least_containers"), "pieces", "tokens", F.round(F.col("tokens") / (F.col("containers") * F.col("max_tokens")), 6).alias("filled"))
+
+
+@query(
+    "p6_found",
+    r"""
+    WITH f AS (SELECT DISTINCT fn_id, full_code FROM universal_function WHERE fn_id IS NOT NULL AND full_code IS NOT NULL),
+    t AS (SELECT fn_id, regexp_extract_all(full_code, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\s]') AS w FROM f),
+    s AS (SELECT DISTINCT fn_id, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS x FROM (SELECT fn_id, w, unnest(range(1, len(w) - 1)) AS p FROM t WHERE len(w) >= 3)),
+    n AS (SELECT fn_id, count(*) AS n FROM s GROUP BY fn_id),
+    shared AS (SELECT a.fn_id AS a, b.fn_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.fn_id < b.fn_id GROUP BY ALL)
+    SELECT a AS fn_id_a, b AS fn_id_b FROM shared JOIN n na ON na.fn_id = a JOIN n nb ON nb.fn_id = b WHERE c * 5 >= 3 * (na.n + nb.n - c)
+    """,
+)
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of functions whose code has similarity of at least 0.6."""
+    members, links = neardup.near_duplicates(table(spark, sf_dir, "universal_function"), "fn_id", "full_code")
+    return neardup.pairs_of(members, links).select(F.col("a").alias("fn_id_a"), F.col("b").alias("fn_id_b"))
+
+
+@query("p6_groups")
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per function: its class of equal shingle sets, the class's links and the group they form, by body."""
+    members, links = neardup.near_duplicates(table(spark, sf_dir, "universal_function"), "fn_id", "body")
+    return neardup.groups_of(members, links).withColumnRenamed("id", "fn_id")
