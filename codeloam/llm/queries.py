@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloam.llm import leaks, neardup, packing, pii
+from codeloam.llm import knn, leaks, neardup, packing, pii
+from codeloam.llm.vectors import last_vectors
 from codeloam.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,17 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: Valid rows of the last delivery, shared by the SQL of the vector queries: v(f, id, d, x) with unit x by field.
+LAST_VECTORS_SQL = """
+    r AS (SELECT regexp_replace(trim(target, E' \\t\\r\\n'), '^\\./', '') AS target, loaded_at, snapshot_id, enriched, composite
+      FROM shape_snapshot WHERE target IS NOT NULL AND delivery_no = (SELECT max(delivery_no) FROM shape_snapshot)),
+    u AS (SELECT DISTINCT ON (target) * FROM r ORDER BY target, loaded_at DESC NULLS LAST, snapshot_id DESC),
+    e AS (SELECT 'enriched' AS f, snapshot_id AS id, unnest(map_entries(enriched)) AS e FROM u
+      UNION ALL SELECT 'composite', snapshot_id, unnest(map_entries(composite)) FROM u),
+    w AS (SELECT f, id, e.key AS d, round(e.value, 4) AS x FROM e WHERE round(e.value, 4) <> 0),
+    v AS (SELECT f, id, d, x / sqrt(sum(x * x) OVER (PARTITION BY f, id)) AS x FROM w)"""
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -98,3 +110,32 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per function: its class of equal shingle sets, the class's links and the group they form, by body."""
     members, links = neardup.near_duplicates(table(spark, sf_dir, "universal_function"), "fn_id", "body")
     return neardup.groups_of(members, links).withColumnRenamed("id", "fn_id")
+
+
+@query(
+    "p3_found",
+    f"""
+    WITH {LAST_VECTORS_SQL},
+    i AS (SELECT DISTINCT f, id FROM v),
+    c AS (SELECT a.f, a.id AS a, b.id AS b, round(sum(a.x * b.x), 9) AS c FROM v a JOIN v b ON a.f = b.f AND a.d = b.d AND a.id <> b.id GROUP BY ALL),
+    p AS (SELECT a.f, a.id AS a, b.id AS b, coalesce(c.c, 0) AS c FROM i a JOIN i b ON a.f = b.f AND a.id <> b.id LEFT JOIN c ON c.f = a.f AND c.a = a.id AND c.b = b.id),
+    k AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY f, a ORDER BY c DESC, b) <= 5)
+    SELECT DISTINCT least(a, b) AS snapshot_id_a, greatest(a, b) AS snapshot_id_b FROM k
+    """,
+)
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of the last delivery where one is among the 5 most similar to the other, by field."""
+    near = None
+    for field in ("enriched", "composite"):
+        part = knn.most_similar(last_vectors(table(spark, sf_dir, "shape_snapshot"), field), 5)
+        near = part if near is None else near.union(part)
+    pairs = near.select("id", F.explode("neighbours.id").alias("other"))
+    return pairs.select(F.least("id", "other").alias("snapshot_id_a"), F.greatest("id", "other").alias("snapshot_id_b")).distinct()
+
+
+@query("p3_neighbours")
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar files, with cosine and rank, of every file whose id is divisible by 50."""
+    vectors = last_vectors(table(spark, sf_dir, "shape_snapshot"), "enriched")
+    near = knn.most_similar(vectors, 10, vectors.where("id % 50 = 0"))
+    return near.select("id", F.posexplode("neighbours").alias("rank", "n")).select(F.col("id").alias("snapshot_id"), (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("other_id"), "n.cosine")
