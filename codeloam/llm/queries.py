@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloam.llm import knn, leaks, neardup, packing, pii
+from codeloam.llm import clusters, knn, leaks, neardup, packing, pii
 from codeloam.llm.vectors import last_vectors
 from codeloam.session import table
 
@@ -139,3 +139,24 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = last_vectors(table(spark, sf_dir, "shape_snapshot"), "enriched")
     near = knn.most_similar(vectors, 10, vectors.where("id % 50 = 0"))
     return near.select("id", F.posexplode("neighbours").alias("rank", "n")).select(F.col("id").alias("snapshot_id"), (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("other_id"), "n.cosine")
+
+
+@query(
+    "p5_found",
+    f"""
+    WITH RECURSIVE {LAST_VECTORS_SQL},
+    l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.f = b.f AND a.d = b.d AND a.id <> b.id WHERE a.f = 'enriched' GROUP BY ALL HAVING round(sum(a.x * b.x), 9) >= 0.9),
+    c(id, low) AS (SELECT a, least(a, min(b)) FROM l GROUP BY a UNION SELECT l.b, c.low FROM c JOIN l ON l.a = c.id)
+    SELECT min(low) AS cluster_id, id AS snapshot_id FROM c GROUP BY id
+    """,
+)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of clusters joined by chains of pairs with cosine of at least 0.9."""
+    found = clusters.chain_clusters(last_vectors(table(spark, sf_dir, "shape_snapshot"), "enriched"), 0.9)
+    return found.select("cluster_id", F.col("id").alias("snapshot_id"))
+
+
+@query("p5_clusters")
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward clusters of the last delivery with size and most typical members."""
+    return clusters.ward_clusters(last_vectors(table(spark, sf_dir, "shape_snapshot"), "enriched"))
