@@ -19,53 +19,61 @@ SHINGLE = 3  # consecutive tokens
 TREES = 64
 DEPTHS = (4, 5, 6)  # label lengths; a region goes deeper while it holds more than CROWD records
 CROWD = 256
-_RNG = np.random.default_rng(20310303)
-_MULT = _RNG.integers(1, 1 << 63, TREES * DEPTHS[-1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, TREES * DEPTHS[-1], dtype=np.uint64)
-_MIX = _RNG.integers(1, 1 << 63, (2, TREES, DEPTHS[-1]), dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct runs of SHINGLE tokens."""
-    t = TOKEN.findall(text) if text else []
-    runs = {" ".join(t[k : k + SHINGLE]) for k in range(len(t) - SHINGLE + 1)}
+def shingles(text: str | None, size: int = SHINGLE, words: bool = False) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct runs of ``size`` tokens, or of blank-separated words."""
+    t = (text.split() if words else TOKEN.findall(text)) if text else []
+    runs = {" ".join(t[k : k + size]) for k in range(len(t) - size + 1)}
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), np.uint64, len(runs)))
 
 
-def labels(s: np.ndarray) -> np.ndarray:
-    """Keys of the record's prefix in every tree at every depth, depth by depth."""
-    low = np.full(len(_MULT), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(s), 512):
-        x = s[k : k + 512, None] * _MULT + _ADD
-        x ^= x >> np.uint64(33)
-        np.minimum(low, x.min(axis=0), out=low)
-    low = low.reshape(TREES, DEPTHS[-1])
-    run = np.cumsum((low ^ (low >> np.uint64(29))) * _MIX[0] + _MIX[1], axis=1, dtype=np.uint64)
-    keys = run[:, [d - 1 for d in DEPTHS]].T  # (depth, tree)
-    keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(TREES, dtype=np.uint64)
-    return keys.reshape(-1).view(np.int64)
+class Forest:
+    """The hash functions of the label orders: ``trees`` sequences of MinHash values, cut at ``depths``."""
+
+    def __init__(self, trees: int, depths: tuple[int, ...]) -> None:
+        rng = np.random.default_rng(20310303)
+        n = trees * depths[-1]
+        self.trees, self.depths = trees, depths
+        self.mult = rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        self.mix = rng.integers(1, 1 << 63, (2, trees, depths[-1]), dtype=np.uint64) | np.uint64(1)
+
+    def labels(self, s: np.ndarray) -> np.ndarray:
+        """Keys of the record's prefix in every tree at every depth, depth by depth."""
+        low = np.full(len(self.mult), np.iinfo(np.uint64).max, np.uint64)
+        for k in range(0, len(s), 512):
+            x = s[k : k + 512, None] * self.mult + self.add
+            x ^= x >> np.uint64(33)
+            np.minimum(low, x.min(axis=0), out=low)
+        low = low.reshape(self.trees, self.depths[-1])
+        run = np.cumsum((low ^ (low >> np.uint64(29))) * self.mix[0] + self.mix[1], axis=1, dtype=np.uint64)
+        keys = run[:, [d - 1 for d in self.depths]].T  # (depth, tree)
+        keys = (keys ^ (keys >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(self.trees, dtype=np.uint64)
+        return keys.reshape(-1).view(np.int64)
 
 
 RECORD = "id bigint, c1 bigint, c2 bigint, n int, shingles array<bigint>, labels array<bigint>"
 
 
-def _records(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _records(rows: DataFrame, id_col: str, text_col: str, shingle: int, words: bool, trees: int, depths: tuple[int, ...]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = Forest(trees, depths)
         for pdf in batches:
-            sets = [shingles(t) for t in pdf["text"]]
+            sets = [shingles(t, shingle, words) for t in pdf["text"]]
             c = [(xxhash.xxh64_intdigest(s.tobytes(), 1), xxhash.xxh64_intdigest(s.tobytes(), 2)) for s in sets]
             c = np.array(c, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"id": pdf["id"], "c1": c[:, 0], "c2": c[:, 1], "n": [len(s) for s in sets], "shingles": [s.view(np.int64) for s in sets], "labels": [labels(s) for s in sets]})
+            yield pd.DataFrame({"id": pdf["id"], "c1": c[:, 0], "c2": c[:, 1], "n": [len(s) for s in sets], "shingles": [s.view(np.int64) for s in sets], "labels": [forest.labels(s) for s in sets]})
 
     src = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     return spread(src, "id").mapInPandas(run, RECORD).where("n > 0")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
+def _candidates(classes: DataFrame, trees: int, depths: tuple[int, ...]) -> DataFrame:
     """Distinct (a, b), a < b, that share a region of some tree; crowded regions are split by longer labels."""
-    deeper = len(DEPTHS) - 1
-    each = F.posexplode(F.slice("labels", 1, TREES)).alias("tree", "key")
-    now = classes.select("cls", "labels", each).select("cls", "key", *[F.element_at("labels", F.col("tree") + 1 + TREES * d).alias(f"k{d}") for d in range(1, deeper + 1)])
+    deeper = len(depths) - 1
+    each = F.posexplode(F.slice("labels", 1, trees)).alias("tree", "key")
+    now = classes.select("cls", "labels", each).select("cls", "key", *[F.element_at("labels", F.col("tree") + 1 + trees * d).alias(f"k{d}") for d in range(1, deeper + 1)])
     out = None
     for d in range(deeper + 1):
         sizes = now.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -81,25 +89,25 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def near_duplicates(rows: DataFrame, id_col: str, text_col: str, least: tuple[int, int] = (3, 5)) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, id_col: str, text_col: str, least: tuple[int, int] = (3, 5), shingle: int = SHINGLE, words: bool = False, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, cls) of every record, links (a, b, similarity) between classes.
 
     Records with the same set of shingles form a class, named by its smallest id, so copies of any number are one
     record from here on. A class has a label per tree, a sequence of MinHash values; classes that share the first
-    DEPTHS[0] values in any of TREES orders are candidates. Where more than CROWD share them the region is split by
+    ``depths[0]`` values in any of ``trees`` orders are candidates. Where more than CROWD share them the region is split by
     longer labels, at the last depth all its pairs are taken. Candidates are checked on the whole shingle sets:
     similarity is shared over all shingles, kept at ``least`` (numerator, denominator) or more.
 
-    A pair at the limit of 0.6 is missed with probability (1 - 0.6^4)^64 = 0.00014, a nearer one less often.
+    With the defaults a pair at the limit of 0.6 is missed with probability (1 - 0.6^4)^64 = 0.00014, a nearer one less often.
     Null ids, null texts and texts without a shingle take no part; repeated rows count once; equal texts under other
     ids are members of one class; empty tables give empty results; other columns are ignored.
     """
-    records = cut(_records(rows, id_col, text_col))
+    records = cut(_records(rows, id_col, text_col, shingle, words, trees, depths))
     ids = records.select("id", "c1", "c2").distinct()
     heads = ids.groupBy("c1", "c2").agg(F.min("id").alias("cls"))
     members = cut(ids.join(heads, ["c1", "c2"]).select("id", "cls"))
     classes = cut(records.join(heads.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("cls"), "n", "shingles", "labels"))
-    pairs = cut(_candidates(classes.select("cls", "labels")))
+    pairs = cut(_candidates(classes.select("cls", "labels"), trees, depths))
     sets = classes.select("cls", "n", "shingles")
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))

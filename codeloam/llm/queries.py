@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloam.llm import clusters, knn, leaks, neardup, packing, pii
+from codeloam.llm import clusters, handwritten, knn, leaks, neardup, packing, pii
 from codeloam.llm.vectors import last_vectors
 from codeloam.session import table
 
@@ -160,3 +160,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ward clusters of the last delivery with size and most typical members."""
     return clusters.ward_clusters(last_vectors(table(spark, sf_dir, "shape_snapshot"), "enriched"))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are generated, minified, vendored or data."""
+    return handwritten.not_by_hand(table(spark, sf_dir, "function_unit")).select("project", "file")
+
+
+@query("p2_kinds")
+def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files with their kind and the evidence for it."""
+    return handwritten.not_by_hand(table(spark, sf_dir, "function_unit"))
