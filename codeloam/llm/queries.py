@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloam.llm import clusters, handwritten, knn, leaks, neardup, packing, pii
+from codeloam.llm import clusters, handwritten, knn, leaks, neardup, packing, pii, syntax
 from codeloam.llm.vectors import last_vectors
 from codeloam.session import table
 
@@ -172,3 +172,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files with their kind and the evidence for it."""
     return handwritten.not_by_hand(table(spark, sf_dir, "function_unit"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions that are not valid in their language: those whose least syntax repair has a cost."""
+    return syntax.syntax_repairs(table(spark, sf_dir, "universal_function")).where(syntax.broken()).select("fn_id").distinct()
+
+
+@query("p4_repairs")
+def p4_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the repair of each broken function tells: cost, kind and first line edited."""
+    return syntax.syntax_repairs(table(spark, sf_dir, "universal_function")).where(syntax.broken()).distinct()
+
+
+@query("p4_rates")
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of broken functions per project and language."""
+    return syntax.error_rates(table(spark, sf_dir, "universal_function"))
