@@ -69,8 +69,11 @@ def _records(rows: DataFrame, id_col: str, text_col: str, shingle: int, words: b
     return spread(src, "id").mapInPandas(run, RECORD).where("n > 0")
 
 
-def _candidates(classes: DataFrame, trees: int, depths: tuple[int, ...]) -> DataFrame:
-    """Distinct (a, b), a < b, that share a region of some tree; crowded regions are split by longer labels."""
+def _candidates(classes: DataFrame, trees: int, depths: tuple[int, ...], least: tuple[int, int]) -> DataFrame:
+    """Distinct (a, b), a < b, that share a region of some tree; crowded regions are split by longer labels.
+
+    Splitting may part a pair in every tree, so classes of crowded regions are joined exactly as well.
+    """
     deeper = len(depths) - 1
     each = F.posexplode(F.slice("labels", 1, trees)).alias("tree", "key")
     now = classes.select("cls", "labels", each).select("cls", "key", *[F.element_at("labels", F.col("tree") + 1 + trees * d).alias(f"k{d}") for d in range(1, deeper + 1)])
@@ -82,13 +85,30 @@ def _candidates(classes: DataFrame, trees: int, depths: tuple[int, ...]) -> Data
         a, b = here.select("key", F.col("cls").alias("a")), here.select("key", F.col("cls").alias("b"))
         pairs = a.join(b, "key").where("a < b").select("a", "b").distinct()
         out = pairs if out is None else out.union(pairs)
-        if d < deeper:
-            now = now.where(F.col("size") > CROWD).select("cls", F.col(f"k{d + 1}").alias("key"), *[f"k{e}" for e in range(d + 2, deeper + 1)])
-            if now.isEmpty():
+        if d == deeper:
+            break
+        now = now.where(F.col("size") > CROWD)
+        if d == 0:
+            crowd = now.select("cls").distinct()
+            if crowd.isEmpty():
                 break
+            out = out.union(_prefix_pairs(classes.join(crowd, "cls", "left_semi"), least))
+        now = now.select("cls", F.col(f"k{d + 1}").alias("key"), *[f"k{e}" for e in range(d + 2, deeper + 1)])
     return out.distinct()
 
 
+def _prefix_pairs(classes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """All (a, b) that may reach ``least``: such a pair shares one of the rarest shingles of either, as many of them as
+    may differ, plus one."""
+    num, den = least
+    all_of = classes.select("cls", "n", F.explode("shingles").alias("x"))
+    rank = all_of.join(all_of.groupBy("x").agg(F.count("*").alias("df")), "x")
+    kept = rank.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "x"))), F.lit(1), F.max(F.expr(f"cast(n - ceil(n * {num} / {den}) + 1 as int)"))).alias("rare"))
+    prefix = kept.select("cls", F.explode("rare").alias("r")).where("r.df > 1").select("cls", "r.x")
+    a, b = prefix.select("x", F.col("cls").alias("a")), prefix.select("x", F.col("cls").alias("b"))
+    return a.join(b, "x").where("a < b").select("a", "b").distinct()
+
+
 def near_duplicates(rows: DataFrame, id_col: str, text_col: str, least: tuple[int, int] = (3, 5), shingle: int = SHINGLE, words: bool = False, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, cls) of every record, links (a, b, similarity) between classes.
 
@@ -107,7 +127,7 @@ def near_duplicates(rows: DataFrame, id_col: str, text_col: str, least: tuple[in
     heads = ids.groupBy("c1", "c2").agg(F.min("id").alias("cls"))
     members = cut(ids.join(heads, ["c1", "c2"]).select("id", "cls"))
     classes = cut(records.join(heads.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("cls"), "n", "shingles", "labels"))
-    pairs = cut(_candidates(classes.select("cls", "labels"), trees, depths))
+    pairs = cut(_candidates(classes, trees, depths, least))
     sets = classes.select("cls", "n", "shingles")
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))

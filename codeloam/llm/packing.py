@@ -96,7 +96,7 @@ def pack(sizes: DataFrame, capacities: DataFrame, items_per_task: int = ITEMS) -
     caps = capacities.select(F.col("capacity_id").cast("int"), F.col("max_tokens").cast("bigint").alias("cap")).where("cap >= 1 and capacity_id is not null").distinct().limit(MAX_CAPACITIES + 1).collect()
     if len(caps) > MAX_CAPACITIES:
         raise ValueError("too many capacities")
-    each = F.explode(F.array(*[F.struct(F.lit(c[0]).alias("capacity_id"), F.lit(c[1]).cast("bigint").alias("cap")) for c in sorted(caps)]) if caps else F.expr("cast(array() as array<struct<capacity_id:int,cap:bigint>>)"))
+    each = F.explode(F.array(*[F.struct(F.lit(c[0]).alias("capacity_id"), F.lit(c[1]).cast("bigint").alias("cap")) for c in sorted(caps)]) if caps else F.explode(F.expr("cast(array() as array<struct<capacity_id:int,cap:bigint>>)"))
     pieces = F.expr("greatest(1L, (n_tokens + cap - 1) div cap)")
     items = sizes.select("doc_id", "n_tokens", each.alias("c")).select("doc_id", "n_tokens", "c.*").withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
     items = items.select("capacity_id", "cap", "doc_id", "piece_no", F.expr("piece_no * cap").alias("begin_token"), F.expr("least(cap, n_tokens - piece_no * cap)").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(groups)).alias("grp"))
