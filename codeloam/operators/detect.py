@@ -14,7 +14,7 @@ from codeloam.operators import vectors as vx
 
 def _rows(df: DataFrame, ids: list[str], cells: list[Column]) -> DataFrame:
     """One row per non-null struct among ``cells``."""
-    return df.select(*ids, F.explode(F.array_compact(F.array(*cells))).alias("x")).select(*ids, "x.*")
+    return df.select(*ids, F.explode_outer(F.array_compact(F.array(*cells))).alias("x")).where("x is not null").select(*ids, "x.*")
 
 
 def weaknesses(df: DataFrame, ids: list[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def pattern_sinks(df: DataFrame, ids: list[str]) -> DataFrame:
         return F.transform(hits, lambda m: F.struct(F.lit(cat).alias("category"), F.substring(F.trim(m), 1, 40).alias("sink"), F.lit(rules.SINK_IMPACT[cat]).alias("impact")))
 
     found = F.concat(*[of(cat, pats) for cat, pats in rules.SINK_ROLES.items()])
-    return df.select(*ids, F.explode(F.array_distinct(found)).alias("x")).select(*ids, "x.*")
+    return df.select(*ids, F.explode_outer(F.array_distinct(found)).alias("x")).where("x is not null").select(*ids, "x.*")
 
 
 def called_names(code: Column) -> Column:
@@ -62,7 +62,7 @@ def first_category(name: Column, table: dict[str, list[str]]) -> Column:
 def named_sinks(df: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, category, sink, via_alias): calls by name, and calls of names that were assigned a dangerous function."""
     alias = F.regexp_extract_all("code", F.lit(r"(\w+)\s*=\s*(?:(?:os\.)?(?:system|popen|exec|eval)\b|\w*\.?\w*(?:system|exec|eval|popen|query|execute|open|load)\w*\b(?!\s*\())"), F.lit(1))
-    calls = df.select(*ids, F.explode(F.array_distinct(called_names(F.col("code")))).alias("sink"), alias.alias("aliases"))
+    calls = df.select(*ids, F.explode_outer(F.array_distinct(called_names(F.col("code")))).alias("sink"), alias.alias("aliases")).where("sink is not null")
     via = F.array_contains("aliases", F.col("sink"))
     cat = F.when(via, "CODE_EXEC").otherwise(first_category(F.lower("sink"), rules.SINK_WORDS))
     return calls.select(*ids, cat.alias("category"), "sink", via.alias("via_alias")).where("category is not null")
@@ -92,7 +92,7 @@ def hardcoded(df: DataFrame, ids: list[str]) -> DataFrame:
         return F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("kind"), F.substring(F.trim(m), 1, 40).alias("value")))
 
     found = F.concat(*[of(k, p) for k, pats in rules.HARDCODED.items() for p in pats])
-    return rows.select(*ids, (F.col("pos") + 1).alias("line"), F.explode(found).alias("x")).select(*ids, "line", "x.kind", "x.value")
+    return rows.select(*ids, (F.col("pos") + 1).alias("line"), F.explode_outer(found).alias("x")).where("x is not null").select(*ids, "line", "x.kind", "x.value")
 
 
 def _word(w: str) -> str:
@@ -136,7 +136,7 @@ def signatures(df: DataFrame, ids: list[str], table: list, by_prims: float, by_m
 def with_shape(df: DataFrame) -> DataFrame:
     """``df`` with its shape: the eight dominant primitives by token."""
     df = ft.with_tokens(df)
-    return df.withColumn("shape", vx.top_names(vx.packed(ft.token_primitives(F.col("toks"), F.col("code"))), rules.PRIMITIVES, 8)).drop("toks")
+    return vx.with_top_names(df, "shape", vx.packed(ft.token_primitives(F.col("toks"), F.col("code"))), rules.PRIMITIVES, 8).drop("toks")
 
 
 def algorithms(df: DataFrame, ids: list[str]) -> DataFrame:

@@ -92,9 +92,8 @@ def control_flow(text: Column) -> Column:
     return F.when(s == "", "S").otherwise(s)
 
 
-def model_dims(text: Column) -> dict[str, Column]:
+def model_dims(text: Column, flow: Column) -> dict[str, Column]:
     """Operations, type hints and control flow as one vector's dims."""
-    flow = control_flow(text)
     return {f"P:{d}": c for d, c in intents(text, rules.OPERATIONS).items()} | {f"T:{t}": c for t, c in type_hints(text).items()} | {f"C:{x}": F.contains(flow, F.lit(x)).cast("int") for x in "BLRS"}
 
 

@@ -16,10 +16,10 @@ def composite(fns: DataFrame, connections: DataFrame, modules: DataFrame) -> Dat
     code, functions, connections (project, n) and modules (project, n); unit length per project."""
     files = fns.select("project", "file", "lang").distinct().groupBy("project", "lang").agg(F.count("*").alias("n"))
     lang = files.select("project", F.concat(F.lit("LANG:"), "lang").alias("dim"), (F.col("n") / F.sum("n").over(Window.partitionBy("project"))).alias("value")).where("dim is not null")
-    rows = ft.with_efficiency(ft.with_tokens(fns))
-    entries = vx.packed({f"PRIM:{p}": c for p, c in ft.token_primitives(F.col("toks"), F.col("code")).items()} | {"FUNC": F.lit(1)})
-    eff = F.transform(vx.l2(vx.packed(ft.efficiency_dims())), lambda e: F.struct(F.concat(F.lit("EFF:"), e["dim"]).alias("dim"), e["value"].alias("value")))
-    sums = vx.exploded(rows, ["project"], F.concat(entries, eff)).groupBy("project", "dim").agg(F.sum("value").alias("value"))
+    rows = ft.with_tokens(fns)
+    prims = vx.exploded(rows, ["project"], vx.packed({f"PRIM:{p}": c for p, c in ft.token_primitives(F.col("toks"), F.col("code")).items()} | {"FUNC": F.lit(1)}))
+    cost = vx.unit_rows(ft.with_efficiency(fns), ["project"], vx.packed(ft.efficiency_dims())).select("project", F.concat(F.lit("EFF:"), "dim").alias("dim"), "value")
+    sums = prims.union(cost).groupBy("project", "dim").agg(F.sum("value").alias("value"))
     sinks = dt.named_sinks(fns, ["project", "fn_id"]).groupBy("project", F.concat(F.lit("SINK:"), "category").alias("dim")).agg(F.count("*").cast("double").alias("value"))
     hard = dt.hardcoded(fns, ["project", "fn_id"]).groupBy("project", F.concat(F.lit("HARD:"), "kind").alias("dim")).agg(F.count("*").cast("double").alias("value"))
     more = connections.select("project", F.lit("CONN").alias("dim"), F.col("n").cast("double").alias("value")).union(modules.select("project", F.lit("IMP").alias("dim"), F.col("n").cast("double")))

@@ -8,37 +8,51 @@ from pyspark.sql import functions as F
 from codeloam.functions.rules import SHAPE_KEYS
 
 
-def long_form(df: DataFrame, ids: list[str], dims: dict[str, Column]) -> DataFrame:
-    """One row per id and dim of non-zero value."""
-    entries = F.array(*[F.struct(F.lit(d).alias("dim"), c.cast("double").alias("value")) for d, c in dims.items()])
-    return df.select(*ids, F.explode(F.filter(entries, lambda e: e["value"] != 0)).alias("e")).select(*ids, "e.dim", "e.value")
-
-
 def packed(dims: dict[str, Column]) -> Column:
     """Non-zero dims of a row as an array of (dim, value), normalised in the row and without a shuffle."""
     return F.filter(F.array(*[F.struct(F.lit(d).alias("dim"), c.cast("double").alias("value")) for d, c in dims.items()]), lambda e: e["value"] != 0)
 
 
-def l2(entries: Column, digits: int | None = 4) -> Column:
-    norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda a, e: a + e["value"] * e["value"]))
-    scaled = F.transform(entries, lambda e: F.struct(e["dim"].alias("dim"), (F.round(e["value"] / norm, digits) if digits is not None else e["value"] / norm).alias("value")))
-    return F.filter(scaled, lambda e: e["value"] != 0)
+def _scaled(df: DataFrame, ids: list[str], entries: Column, norm, digits: int | None) -> DataFrame:
+    """(ids, vec): entries over their norm. Entries and norm are columns of their own, so each is computed once a row."""
+    df = df.select(*ids, entries.alias("_e"))
+    df = df.select(*ids, "_e", norm(F.col("_e")).alias("_n"))
+    value = lambda e: F.round(e["value"] / F.col("_n"), digits) if digits is not None else e["value"] / F.col("_n")
+    scaled = F.transform("_e", lambda e: F.struct(e["dim"].alias("dim"), value(e).alias("value")))
+    return df.select(*ids, F.filter(scaled, lambda e: e["value"] != 0).alias("vec"))
+
+
+def l2(df: DataFrame, ids: list[str], entries: Column, digits: int | None = 4) -> DataFrame:
+    return _scaled(df, ids, entries, lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, e: a + e["value"] * e["value"])), digits)
+
+
+def l1(df: DataFrame, ids: list[str], entries: Column, digits: int = 4) -> DataFrame:
+    return _scaled(df, ids, entries, lambda x: F.aggregate(x, F.lit(0.0), lambda a, e: a + e["value"]), digits)
+
+
+def unit_rows(df: DataFrame, ids: list[str], entries: Column, digits: int | None = 4) -> DataFrame:
+    """Long form of :func:`l2`."""
+    return exploded(l2(df, ids, entries, digits), ids, F.col("vec"))
 
 
-def l1(entries: Column, digits: int = 4) -> Column:
-    total = F.aggregate(entries, F.lit(0.0), lambda a, e: a + e["value"])
-    return F.filter(F.transform(entries, lambda e: F.struct(e["dim"].alias("dim"), F.round(e["value"] / total, digits).alias("value"))), lambda e: e["value"] != 0)
+def share_rows(df: DataFrame, ids: list[str], entries: Column) -> DataFrame:
+    """Long form of :func:`l1`."""
+    return exploded(l1(df, ids, entries), ids, F.col("vec"))
 
 
 def exploded(df: DataFrame, ids: list[str], entries: Column) -> DataFrame:
-    return df.select(*ids, F.explode(entries).alias("e")).select(*ids, "e.dim", "e.value")
+    """One row per entry. The outer form spares the filter on the size of the array that the optimizer would add to the
+    plain one, which would compute the array again; empty arrays are dropped after."""
+    return df.select(*ids, F.explode_outer(entries).alias("e")).where("e is not null").select(*ids, "e.dim", "e.value")
 
 
-def top_names(entries: Column, order: list[str], n: int, empty: str = "EMPTY") -> Column:
-    """The ``n`` greatest dims joined by ``>``; ties keep the vocabulary's order."""
+def with_top_names(df: DataFrame, name: str, entries: Column, order: list[str], n: int, empty: str = "EMPTY") -> DataFrame:
+    """``df`` with the ``n`` greatest dims joined by ``>`` under ``name``; ties keep the vocabulary's order."""
     rank = F.create_map(*[x for k, d in enumerate(order) for x in (F.lit(d), F.lit(k))])
-    ranked = F.array_sort(F.transform(entries, lambda e: F.struct((-e["value"]).alias("v"), rank[e["dim"]].alias("o"), e["dim"].alias("dim"))))
-    return F.when(F.size(entries) > 0, F.array_join(F.transform(F.slice(ranked, 1, n), lambda x: x["dim"]), ">")).otherwise(empty)
+    df = df.withColumn("_e", entries)
+    df = df.withColumn("_r", F.array_sort(F.transform("_e", lambda e: F.struct((-e["value"]).alias("v"), rank[e["dim"]].alias("o"), e["dim"].alias("dim")))))
+    top = F.when(F.size("_e") > 0, F.array_join(F.transform(F.slice("_r", 1, n), lambda x: x["dim"]), ">")).otherwise(empty)
+    return df.withColumn(name, top).drop("_e", "_r")
 
 
 def cosine_of(a: Column, b: Column) -> Column:

@@ -33,13 +33,13 @@ def prim_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("prim_vector", f"WITH {sq.TOKS} {sq.long_sql('toks', 'fn_id', _PRIM_SQL, 'l2')}")
 def prim_vector(spark: SparkSession, d: str) -> DataFrame:
     """Unit vector over the primitives."""
-    return vx.exploded(ft.with_tokens(_fns(spark, d)), ["fn_id"], vx.l2(vx.packed(_prims())))
+    return vx.unit_rows(ft.with_tokens(_fns(spark, d)), ["fn_id"], vx.packed(_prims()))
 
 
 @query("shape_signature", f"WITH {sq.TOKS}, s AS ({sq.ranked_sql('toks', 'fn_id', _PRIM_SQL, 8)}) SELECT fn_id, coalesce(shape, 'EMPTY') AS shape FROM toks LEFT JOIN s USING (fn_id)")
 def shape_signature(spark: SparkSession, d: str) -> DataFrame:
     """The eight dominant primitives."""
-    return ft.with_tokens(_fns(spark, d)).select("fn_id", vx.top_names(vx.packed(_prims()), P, 8).alias("shape"))
+    return vx.with_top_names(ft.with_tokens(_fns(spark, d)), "shape", vx.packed(_prims()), P, 8).select("fn_id", "shape")
 
 
 _LINE_STRIPPED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(code, '(^|[^:])//[^\\n]*', '\\1', 'g'), '#[^\\n]*', '', 'g'), '\"[^\"\\\\]*(?:\\\\.[^\"\\\\]*)*\"', '\"\"', 'g'), '''[^''\\\\]*(?:\\\\.[^''\\\\]*)*''', '''''', 'g')"
@@ -77,11 +77,11 @@ def _intent(name: str, rule: dict, top: int) -> None:
 
     def vector(spark: SparkSession, d: str) -> DataFrame:
         df = _fns(spark, d).withColumn("text", lex.normal(F.col("code")))
-        return vx.exploded(df, ["fn_id"], vx.l1(vx.packed(ft.intents(F.col("text"), rule))))
+        return vx.share_rows(df, ["fn_id"], vx.packed(ft.intents(F.col("text"), rule)))
 
     def shape(spark: SparkSession, d: str) -> DataFrame:
         df = _fns(spark, d).withColumn("text", lex.normal(F.col("code")))
-        return df.select("fn_id", vx.top_names(vx.packed(ft.intents(F.col("text"), rule)), list(rule), top).alias("shape"))
+        return vx.with_top_names(df, "shape", vx.packed(ft.intents(F.col("text"), rule)), list(rule), top).select("fn_id", "shape")
 
     query(f"{name}_vector", f"WITH {sq.TEXTS} {sq.long_sql('texts', 'fn_id', cols, 'l1')}")(vector)
     query(f"{name}_shape", f"WITH {sq.TEXTS}, s AS ({sq.ranked_sql('texts', 'fn_id', cols, top)}) SELECT fn_id, coalesce(shape, 'EMPTY') AS shape FROM texts LEFT JOIN s USING (fn_id)")(shape)
@@ -101,11 +101,15 @@ def operation_counts(spark: SparkSession, d: str) -> DataFrame:
     return vx.exploded(df, ["fn_id"], vx.packed(ft.intents(F.col("text"), rules.OPERATIONS)))
 
 
+def _model(spark: SparkSession, d: str) -> DataFrame:
+    df = _fns(spark, d).withColumn("text", lex.normal(F.col("code")))
+    return df.withColumn("flow", ft.control_flow(F.col("text")))
+
+
 @query("model_vector", f"WITH {_MODEL} {sq.long_sql('m', 'fn_id', _MODEL_SQL, 'l2')}")
 def model_vector(spark: SparkSession, d: str) -> DataFrame:
     """Unit vector over operations, type hints and control flow."""
-    df = _fns(spark, d).withColumn("text", lex.normal(F.col("code")))
-    return vx.exploded(df, ["fn_id"], vx.l2(vx.packed(ft.model_dims(F.col("text")))))
+    return vx.unit_rows(_model(spark, d), ["fn_id"], vx.packed(ft.model_dims(F.col("text"), F.col("flow"))))
 
 
 _NEXT = f"{_MODEL}, o AS (SELECT m.*, lead(fn_id) OVER (PARTITION BY project, file ORDER BY fn_id) AS nxt0, lead(fn_id) OVER (PARTITION BY project ORDER BY fn_id) AS nxt FROM m)"
@@ -122,8 +126,7 @@ def _compose_sql() -> str:
 @query("composed_vector", _compose_sql())
 def composed_vector(spark: SparkSession, d: str) -> DataFrame:
     """Composition of each function with the next of its project: one after the other, as branches, nested."""
-    df = _fns(spark, d).withColumn("text", lex.normal(F.col("code")))
-    df = df.select("fn_id", "project", vx.packed(ft.model_dims(F.col("text"))).alias("e"))
+    df = _model(spark, d).select("fn_id", "project", vx.packed(ft.model_dims(F.col("text"), F.col("flow"))).alias("e"))
     w = Window.partitionBy("project").orderBy("fn_id")
     pairs = df.select("fn_id", F.lead("fn_id").over(w).alias("second_id"), "e", F.lead("e").over(w).alias("e2")).where("second_id is not null")
     inner = {"pipe": (1.0, 1.0), "branch": (0.5, 0.5), "nest": (1.0, 1.5)}
@@ -176,15 +179,16 @@ def complexity_classes(spark: SparkSession, d: str) -> DataFrame:
 @query("efficiency_vector")
 def efficiency_vector(spark: SparkSession, d: str) -> DataFrame:
     """Unit vector over the signals of cost."""
-    return vx.exploded(ft.with_efficiency(_fns(spark, d)), ["fn_id"], vx.l2(vx.packed(ft.efficiency_dims())))
+    return vx.unit_rows(ft.with_efficiency(_fns(spark, d)), ["fn_id"], vx.packed(ft.efficiency_dims()))
 
 
 @query("unified_vector")
 def unified_vector(spark: SparkSession, d: str) -> DataFrame:
     """Primitives and, twice as heavy, signals of cost; each part of unit length before."""
     df = ft.with_efficiency(ft.with_tokens(_fns(spark, d)))
-    named = lambda x, prefix, f: F.transform(x, lambda e: F.struct(F.concat(F.lit(prefix), e["dim"]).alias("dim"), (e["value"] * f).alias("value")))
-    return vx.exploded(df, ["fn_id"], F.concat(named(vx.l2(vx.packed(_prims())), "I:", 1.0), named(vx.l2(vx.packed(ft.efficiency_dims())), "E:", 2.0)))
+    prims = vx.unit_rows(df, ["fn_id"], vx.packed(_prims())).select("fn_id", F.concat(F.lit("I:"), "dim").alias("dim"), "value")
+    cost = vx.unit_rows(df, ["fn_id"], vx.packed(ft.efficiency_dims())).select("fn_id", F.concat(F.lit("E:"), "dim").alias("dim"), (2.0 * F.col("value")).alias("value"))
+    return prims.union(cost)
 
 
 @query("line_kinds", f"WITH {_LINES} SELECT fn_id, CASE {' '.join(f'WHEN {sq.hit("txt", p)} THEN {sq.q(k)}' for k, p in rules.LINE_KINDS)} ELSE 'EXPR' END AS kind, count(*) AS n FROM lt WHERE txt <> '' GROUP BY ALL")
@@ -239,4 +243,4 @@ def value_ends(spark: SparkSession, d: str) -> DataFrame:
 @query("value_flow_vector")
 def value_flow_vector(spark: SparkSession, d: str) -> DataFrame:
     """Sources, flow operations and sinks of values as a unit vector."""
-    return vx.exploded(ft.with_tokens(_fns(spark, d)), ["fn_id"], vx.l2(vx.packed(ft.value_ends(F.col("code")) | ft.flow_dims(F.col("toks")))))
+    return vx.unit_rows(ft.with_tokens(_fns(spark, d)), ["fn_id"], vx.packed(ft.value_ends(F.col("code")) | ft.flow_dims(F.col("toks"))))
