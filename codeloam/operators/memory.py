@@ -15,7 +15,7 @@ def snapshots_of(table: DataFrame) -> DataFrame:
     """Distinct snapshots with plain target and complexity; maps as sorted entries, lists as sorted sets."""
     entries = lambda c: F.array_sort(F.filter(F.transform(F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,double>"))), lambda e: F.struct(e["key"].alias("dim"), F.round(e["value"], 4).alias("value"))), lambda e: e["value"] != 0))
     names = lambda c: F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull())))
-    growth = F.regexp_replace(F.lower(F.regexp_replace("complexity", r"\s+", "")), "(nlogn|logn)", "$1")
+    growth = F.lower(F.regexp_replace("complexity", r"\s+", ""))
     return table.where("target is not null").select(
         "snapshot_id", "delivery_no", plain_target("target").alias("target"), "loaded_at", growth.alias("complexity"),
         F.when(F.size(entries("enriched")) > 0, entries("enriched")).otherwise(entries("composite")).alias("vec"), entries("type_profile").alias("types"),
@@ -50,7 +50,7 @@ def _gained(new: Column, old: Column) -> Column:
 
 
 def direction(old: Column, new: Column) -> Column:
-    order = F.array(*[F.lit(c.replace(" ", "")) for c in rules.COMPLEXITIES])
+    order = F.array(*[F.lit(c.replace(" ", "").lower()) for c in rules.COMPLEXITIES])
     a, b = F.array_position(order, old), F.array_position(order, new)
     return F.when(old.isNull() | new.isNull() | (old == new) | (a == 0) | (b == 0), "same").when(b < a, "improved").otherwise("degraded")
 

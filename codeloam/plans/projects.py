@@ -198,7 +198,7 @@ def snapshot_dim_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DIR = "CASE WHEN ocx IS NULL OR complexity IS NULL OR ocx = complexity OR a IS NULL OR b IS NULL THEN 'same' WHEN b < a THEN 'improved' ELSE 'degraded' END"
-_ORD = "[" + ", ".join(sq.q(c.replace(" ", "")) for c in rules.COMPLEXITIES) + "]"
+_ORD = "[" + ", ".join(sq.q(c.replace(" ", "").lower()) for c in rules.COMPLEXITIES) + "]"
 
 
 @query(
