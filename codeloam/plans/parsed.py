@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from codeloam.operators import dataflow as df_
 from codeloam.operators import detect as dt
 from codeloam.operators import embed as em
+from codeloam.operators import enriched as en
+from codeloam.operators import features as ft
 from codeloam.operators import graph as gr
 from codeloam.operators import risks as rk
 from codeloam.operators import structure as st
+from codeloam.operators import vectors as vx
 from codeloam.plans import projects as pr
 from codeloam.plans import sqltext as sq
 from codeloam.plans.core import query
@@ -123,3 +126,32 @@ def translations(spark: SparkSession, d: str) -> DataFrame:
         out = back if out is None else out.union(back)
     a, b = F.split("wanted", ">"), F.split("got", ">")
     return out.select("lang", "wanted", "got", F.round(F.size(F.array_intersect(a, b)) / F.size(a), 2).alias("overlap"), "code")
+
+
+@query("enriched_vector")
+def enriched_vector(spark: SparkSession, d: str) -> DataFrame:
+    """The combined vector of every function."""
+    return en.enriched(_fns(spark, d), em.param_types(table(spark, d, "universal_function")))
+
+
+@query("enriched_summary")
+def enriched_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The four greatest dims of each family of a function's combined vector."""
+    return vx.top_per_family(enriched_vector(spark, d), ["fn_id"], 4)
+
+
+@query("language_clusters")
+def language_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Languages grouped by the mean of their functions' primitive vectors."""
+    rows = vx.unit_rows(ft.with_tokens(_fns(spark, d).where("lang is not null")), ["fn_id", "lang"], vx.packed(ft.token_primitives(F.col("toks"), F.col("code"))))
+    mean = rows.groupBy(F.col("lang").alias("id"), "dim").agg(F.sum("value").alias("value"))
+    groups = en.greedy_clusters(mean, 0.97)
+    return spark.createDataFrame([(k, x) for k, g in enumerate(groups) for x in g], "cluster int, lang string")
+
+
+@query("similar_projects")
+def similar_projects(spark: SparkSession, d: str) -> DataFrame:
+    """Every project against the one with most functions, by their composites."""
+    fns = _fns(spark, d)
+    largest = fns.groupBy("project").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(1)
+    return en.similar_projects(cut(pr.project_composite(spark, d)), largest)
