@@ -59,10 +59,18 @@ def first_category(name: Column, table: dict[str, list[str]]) -> Column:
     return out
 
 
+# fixed values: how a function gets another name, and which ones are dangerous
+PLAIN_ALIAS, DOTTED_ALIAS = r"(\w+)\s*=\s*(?:os\.)?(?:system|popen|exec|eval)\b", r"(\w+)\s*=\s*(\w+\.\w+)\b"
+ALIAS_WORDS = ["system", "exec", "eval", "popen", "query", "execute", "open", "load"]
+
+
 def named_sinks(df: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, category, sink, via_alias): calls by name, and calls of names that were assigned a dangerous function."""
-    alias = F.regexp_extract_all("code", F.lit(r"(\w+)\s*=\s*(?:(?:os\.)?(?:system|popen|exec|eval)\b|\w*\.?\w*(?:system|exec|eval|popen|query|execute|open|load)\w*\b(?!\s*\())"), F.lit(1))
-    calls = df.select(*ids, F.explode_outer(F.array_distinct(called_names(F.col("code")))).alias("sink"), alias.alias("aliases")).where("sink is not null")
+    targets = F.regexp_extract_all("code", F.lit(DOTTED_ALIAS), F.lit(2))
+    dotted = F.zip_with(F.regexp_extract_all("code", F.lit(DOTTED_ALIAS), F.lit(1)), targets, lambda n, t: F.when(lex.matches_any(F.lower(t), ALIAS_WORDS), n))
+    alias = F.concat(F.regexp_extract_all("code", F.lit(PLAIN_ALIAS), F.lit(1)), F.array_compact(dotted))
+    calls = df.select(*ids, F.array_distinct(called_names(F.col("code"))).alias("names"), alias.alias("aliases"))  # once per text, before the rows fan out
+    calls = calls.select(*ids, "aliases", F.explode_outer("names").alias("sink")).where("sink is not null")
     via = F.array_contains("aliases", F.col("sink"))
     cat = F.when(via, "CODE_EXEC").otherwise(first_category(F.lower("sink"), rules.SINK_WORDS))
     return calls.select(*ids, cat.alias("category"), "sink", via.alias("via_alias")).where("category is not null")

@@ -44,7 +44,12 @@ def pattern_sinks(spark: SparkSession, d: str) -> DataFrame:
     return dt.pattern_sinks(_fns(spark, d), ["fn_id"]).distinct()
 
 
-@query("named_sinks")
+_NAMED = f"""a AS (SELECT fn_id, code, list_concat(regexp_extract_all(code, {sq.q(dt.PLAIN_ALIAS)}, 1), list_filter(list_transform(range(1, len(regexp_extract_all(code, {sq.q(dt.DOTTED_ALIAS)}, 1)) + 1), lambda k: CASE WHEN regexp_matches(lower(regexp_extract_all(code, {sq.q(dt.DOTTED_ALIAS)}, 2)[k]), {sq.q('|'.join(dt.ALIAS_WORDS))}) THEN regexp_extract_all(code, {sq.q(dt.DOTTED_ALIAS)}, 1)[k] END), lambda x: x IS NOT NULL)) AS al FROM fns),
+    c AS (SELECT DISTINCT fn_id, al, unnest(regexp_extract_all(code, '([a-zA-Z_]\\w*)\\s*\\(', 1)) AS sink FROM a),
+    k AS (SELECT fn_id, sink, list_contains(al, sink) AS via_alias, CASE WHEN list_contains(al, sink) THEN 'CODE_EXEC' {' '.join('WHEN ' + ' OR '.join(sq.holds('lower(sink)', w) for w in ws) + f' THEN {sq.q(cat)}' for cat, ws in rules.SINK_WORDS.items())} END AS category FROM c WHERE sink NOT IN ({', '.join(map(sq.q, rules.NO_CALLS))}))"""
+
+
+@query("named_sinks", f"WITH {sq.FNS}, {_NAMED} SELECT * FROM k WHERE category IS NOT NULL")
 def named_sinks(spark: SparkSession, d: str) -> DataFrame:
     return dt.named_sinks(_fns(spark, d), ["fn_id"])
 
