@@ -80,3 +80,50 @@ def threshold_sweep(scored: DataFrame, steps: int = 20) -> DataFrame:
     cum = full.select("bin", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(Window.partitionBy()).alias("all_pos"))
     cum = cum.select(F.round(F.col("bin") / steps, 4).alias("threshold"), "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"))
     return cum.withColumn("precision", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6)).withColumn("recall", F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6)).withColumn("f1", F.round(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6))
+
+# fixed values: opposite operations of the operation model, and its penalties
+MODEL_OPPOSITES = [("P:COMPARE:PRED_GT", "P:COMPARE:PRED_LT"), ("P:COMPARE:PRED_MOD0", "P:COMPARE:PRED_MOD1"), ("P:TRANSFORM:ARITH_ADD", "P:TRANSFORM:ARITH_SUB"), ("P:TRANSFORM:ARITH_MUL", "P:TRANSFORM:ARITH_DIV")]
+
+
+def model_similarity(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
+    """0.6 cosine with operations twice as heavy plus 0.4 overlap of dims, less penalties for opposites, never below 0.
+
+    ``a`` and ``b`` are entry arrays of the operation model, the texts the normalised code. One counting up where the
+    other resets is a penalty of its own; all penalties together are at most 0.5.
+    """
+    weight = lambda d: F.when(d.startswith("P:"), 2.0).otherwise(1.0)
+    mb = F.map_from_entries(b)
+    dot = F.aggregate(a, F.lit(0.0), lambda s, e: s + weight(e["dim"]) * e["value"] * F.coalesce(F.try_element_at(mb, e["dim"]), F.lit(0.0)))
+    sq = lambda x: F.aggregate(x, F.lit(0.0), lambda s, e: s + weight(e["dim"]) * e["value"] * e["value"])
+    cos = F.when((sq(a) > 0) & (sq(b) > 0), dot / F.sqrt(sq(a) * sq(b))).otherwise(0.0)
+    da, db = F.transform(a, lambda e: e["dim"]), F.transform(b, lambda e: e["dim"])
+    overlap = F.when(F.size(F.array_union(da, db)) == 0, 1.0).otherwise(F.size(F.array_intersect(da, db)) / F.size(F.array_union(da, db)))
+    has = lambda s, d: F.array_contains(s, d).cast("int")
+    hits = sum((has(da, x) * has(db, y) + has(da, y) * has(db, x) for x, y in MODEL_OPPOSITES), F.lit(0))
+    up = lambda t: t.rlike(r"\+=|\+ 1|\+1")
+    reset = lambda t: t.rlike("= 0|=0")
+    against = (up(text_a) & reset(text_b)) | (reset(text_a) & up(text_b))
+    penalty = F.least(F.lit(0.5), 0.25 * hits + F.when(against, 0.3).otherwise(0.0))
+    return F.greatest(F.lit(0.0), 0.6 * cos + 0.4 * overlap - penalty)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared over all members of two sets; two empty sets are alike."""
+    return F.when(F.size(F.array_union(a, b)) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def flow_sets(edges: DataFrame) -> DataFrame:
+    """(fn_id, calls, kinds): the names a text calls, and its data edges with names left out: kind and ends by class."""
+    end = lambda c: F.when(F.col(c).startswith("call:"), F.col(c)).when(F.col(c).isin("return", "param"), F.col(c)).otherwise("name")
+    return edges.groupBy("fn_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("dst").startswith("call:"), F.col("dst")))).alias("calls"),
+        F.array_sort(F.collect_set(F.concat_ws(">", end("src"), "kind", end("dst")))).alias("kinds"),
+    )
+
+
+def flow_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (first_id, second_id, base) with ``flow``: 0.3 overlap of calls, 0.3 of data edges, 0.4 of ``base``."""
+    a = sets.select(F.col("fn_id").alias("first_id"), F.col("calls").alias("c1"), F.col("kinds").alias("k1"))
+    b = sets.select(F.col("fn_id").alias("second_id"), F.col("calls").alias("c2"), F.col("kinds").alias("k2"))
+    both = pairs.join(a, "first_id").join(b, "second_id")
+    return both.select("first_id", "second_id", F.round(0.3 * jaccard(F.col("c1"), F.col("c2")) + 0.3 * jaccard(F.col("k1"), F.col("k2")) + 0.4 * F.col("base"), 4).alias("flow"))

@@ -12,8 +12,10 @@ from codeloam.operators import enriched as en
 from codeloam.operators import features as ft
 from codeloam.operators import graph as gr
 from codeloam.operators import risks as rk
+from codeloam.operators import similarity as sm
 from codeloam.operators import structure as st
 from codeloam.operators import vectors as vx
+from codeloam.plans import features as fp
 from codeloam.plans import projects as pr
 from codeloam.plans import sqltext as sq
 from codeloam.plans.core import query
@@ -155,3 +157,19 @@ def similar_projects(spark: SparkSession, d: str) -> DataFrame:
     fns = _fns(spark, d)
     largest = fns.groupBy("project").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(1)
     return en.similar_projects(cut(pr.project_composite(spark, d)), largest)
+
+
+@query("model_similarities")
+def model_similarities(spark: SparkSession, d: str) -> DataFrame:
+    """Each function against the next of its project by the operation model."""
+    df = fp._model(spark, d)
+    df = df.select("fn_id", "project", "text", vx.packed(ft.model_dims(F.col("text"), F.col("flow"))).alias("e"))
+    p = gr.next_in_group(df, ["project"], "fn_id", ["fn_id", "text", "e"])
+    return p.select(F.col("fn_id").alias("first_id"), F.col("fn_id2").alias("second_id"), F.round(sm.model_similarity(F.col("e"), F.col("e2"), F.col("text"), F.col("text2")), 4).alias("similarity"))
+
+
+@query("flow_similarities")
+def flow_similarities(spark: SparkSession, d: str) -> DataFrame:
+    """Each function against the next of its project by calls, data edges and primitives."""
+    sets = sm.flow_sets(df_.flow_edges(_fns(spark, d)))
+    return sm.flow_similarity(pr.neighbour_similarity(spark, d), sets)

@@ -133,3 +133,15 @@ def test_outliers_and_sweep(spark):
     s = spark.createDataFrame([(0.9, True), (0.8, True), (0.7, False), (0.1, False)], "score double, truth boolean")
     best = max(sim.threshold_sweep(s).collect(), key=lambda r: r.f1 or 0)
     assert best.f1 == 1.0 and 0.7 < best.threshold <= 0.8
+
+
+def test_model_and_flow_similarity(spark):
+    e = "array<struct<dim:string,value:double>>"
+    df = spark.createDataFrame([([("P:A", 1.0)], [("P:A", 2.0)], "x += 1", "y += 1"), ([("P:A", 1.0)], [("P:A", 1.0)], "x += 1", "y = 0"), ([("P:TRANSFORM:ARITH_ADD", 1.0)], [("P:TRANSFORM:ARITH_SUB", 1.0)], "", ""), ([], [], "", "")], f"a {e}, b {e}, s string, t string")
+    got = [round(r[0], 4) for r in df.select(sim.model_similarity(F.col("a"), F.col("b"), F.col("s"), F.col("t"))).collect()]
+    assert got == [1.0, 0.7, 0.0, 0.4]
+    rows = [(1, "python", "def f(a):\n    b = g(a)\n    return b"), (2, "python", "def h(x):\n    y = g(x)\n    return y"), (3, "python", "def k(x):\n    return x")]
+    sets = sim.flow_sets(flow.flow_edges(spark.createDataFrame(rows, "fn_id bigint, lang string, code string")))
+    pairs = spark.createDataFrame([(1, 2, 1.0), (1, 3, 0.0)], "first_id bigint, second_id bigint, base double")
+    out = {(r.first_id, r.second_id): r.flow for r in sim.flow_similarity(pairs, sets).collect()}
+    assert out[1, 2] == 1.0 and 0 < out[1, 3] < 0.3
