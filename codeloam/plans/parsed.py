@@ -153,10 +153,9 @@ def language_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("similar_projects")
 def similar_projects(spark: SparkSession, d: str) -> DataFrame:
-    """Every project against the one with most functions, by their composites."""
-    fns = _fns(spark, d)
-    largest = fns.groupBy("project").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(1)
-    return en.similar_projects(cut(pr.project_composite(spark, d)), largest)
+    """Every project against every other one that shares a dim with it, by their composites."""
+    composites = cut(pr.project_composite(spark, d))
+    return en.similar_projects(composites, composites)
 
 
 @query("model_similarities")

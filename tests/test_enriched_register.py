@@ -29,6 +29,17 @@ def test_similar_projects(spark):
     assert {(r.asked, r.project, r.cosine) for r in en.similar_projects(v, spark.createDataFrame([("p",)], "project string")).collect()} == {("p", "q", 0.6)}
 
 
+def test_similar_projects_asks_all(spark, monkeypatch):
+    from codeloam.plans import parsed
+
+    v = spark.createDataFrame([("p", "x", 1.0), ("q", "x", 0.6), ("q", "y", 0.8), ("r", "y", 1.0)], "project string, dim string, value double")
+    functions = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, "r")], "fn_id bigint, project string")
+    monkeypatch.setattr(parsed.pr, "project_composite", lambda *_: v)
+    monkeypatch.setattr(parsed, "_fns", lambda *_: functions)
+    got = {(r.asked, r.project, r.cosine) for r in parsed.similar_projects(spark, "").collect()}
+    assert got == {("p", "q", 0.6), ("q", "p", 0.6), ("q", "r", 0.8), ("r", "q", 0.8)}
+
+
 def test_sql_names(spark, tmp_path):
     spark.createDataFrame([(1, "python", "def f(a):\n    return a\ndef g(): pass")], "id int, lang string, code string").write.parquet(str(tmp_path / "t"))
     register(spark, {"snippets": str(tmp_path / "t")})
