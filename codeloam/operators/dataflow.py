@@ -1,4 +1,4 @@
-"""Functions inside texts and how values move in them: extraction, flow edges, reach of parameters, sinks reached."""
+"""Functions inside texts and how values move in them: extraction, flow edges, measures."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloam.operators import detect as dt
-from codeloam.operators.graph import hops
-
 FUNCTION = "fn_id bigint, name string, params array<string>, start_line int, end_line int, is_async boolean, n_calls int"
 EDGE = "fn_id bigint, function string, src string, dst string, kind string, line int"
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
@@ -186,27 +183,3 @@ def flow_measures(edges: DataFrame) -> DataFrame:
     per = nodes.groupBy("fn_id", "function").agg(F.count("*").alias("nodes"), F.max("o").alias("max_fan_out"), F.max("i").alias("max_fan_in"))
     kinds = e.groupBy("fn_id", "function").agg(F.count("*").alias("edges"), *[F.round(F.count_if(F.col("kind") == k) / F.count("*"), 4).alias(k) for k in ("assign", "argument", "result", "iterate", "return")])
     return per.join(kinds, ["fn_id", "function"])
-
-
-def reach_of_params(edges: DataFrame, most: int = 15) -> DataFrame:
-    """(fn_id, function, node, hops): what values of parameters reach within ``most`` moves, for all functions at once."""
-    key = lambda c: F.to_json(F.struct("fn_id", "function", F.col(c).alias("node")))
-    e = edges.select(key("src").alias("src"), key("dst").alias("dst"))
-    seeds = edges.where("kind = 'param'").select(key("src").alias("node")).distinct()
-    got = hops(e, seeds, most).where("hops > 0")
-    node = F.from_json("node", "fn_id bigint, function string, node string").alias("x")
-    return got.select(node, "hops").select("x.*", "hops")
-
-
-def sinks_reached(edges: DataFrame, most: int = 15) -> DataFrame:
-    """(fn_id, function, sink, role, hops): calls of a dangerous role that values of parameters reach."""
-    calls = reach_of_params(edges, most).where("node like 'call:%'").withColumn("sink", F.substring("node", 6, 1000))
-    words = dt.name_words(F.substring_index("sink", ".", -1))
-    return calls.withColumn("role", dt.role_of(words)).where("role is not null").select("fn_id", "function", "sink", "role", "hops")
-
-
-def return_paths(edges: DataFrame, most: int = 15) -> DataFrame:
-    """(fn_id, function, hops): the shortest way of a parameter's value to the function's return."""
-    return reach_of_params(edges, most).where("node = 'return'").select("fn_id", "function", "hops")
-
-

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from codeloam.operators import dataflow as flow
 from codeloam.operators import detect as dt
 from codeloam.operators import graph as gr
+from codeloam.operators import paths
 from codeloam.operators import similarity as sim
 from codeloam.operators import structure as st
 
@@ -112,10 +113,9 @@ def test_functions_and_flow(spark):
     df = spark.createDataFrame(rows, "fn_id bigint, lang string, code string")
     got = {(r.fn_id, r["name"]): r for r in flow.extract_functions(df).collect()}
     assert set(got) == {(1, "f"), (2, "g"), (2, "h"), (3, "k")} and got[1, "f"].params == ["a", "b"] and got[2, "g"].is_async and got[3, "k"].params == ["a", "b"] and got[2, "g"].end_line == 5
-    e = flow.flow_edges(df)
-    assert {(r.function, r.hops) for r in flow.return_paths(e).collect()} == {("f", 3), ("g", 3), ("h", 2), ("k", 3)}
-    assert {(r.function, r.sink, r.role) for r in flow.sinks_reached(e).collect()} == {("f", "os.system", "CODE_EXEC"), ("g", "run", "CODE_EXEC")}
-    assert flow.flow_measures(e).count() == 4
+    assert {(r.function, r.hops) for r in paths.return_paths(df).collect()} == {("f", 3), ("g", 3), ("h", 2), ("k", 3)}
+    assert {(r.function, r.sink, r.role) for r in paths.sinks_reached(df).collect()} == {("f", "os.system", "CODE_EXEC"), ("g", "run", "CODE_EXEC")}
+    assert flow.flow_measures(flow.flow_edges(df)).count() == 4
 
 
 def test_penalties(spark):
