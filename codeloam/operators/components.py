@@ -26,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(kept).where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node id.
 
     Loops and repeated edges are ignored, nulls are dropped, an empty table gives an empty result. A star whose
@@ -34,13 +34,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     now = cut(edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         now = cut(_small_star(_large_star(now)))
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen:
             break
         seen = mark
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

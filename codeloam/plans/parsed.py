@@ -20,6 +20,7 @@ from codeloam.plans import projects as pr
 from codeloam.plans import sqltext as sq
 from codeloam.plans.core import query
 from codeloam.plans.features import _fns
+from codeloam.plans.planted import risky
 from codeloam.session import cut, table
 
 
@@ -53,29 +54,17 @@ def flow_measures(spark: SparkSession, d: str) -> DataFrame:
     return df_.flow_measures(df_.flow_edges(_fns(spark, d)))
 
 
-@query("return_paths")
-def return_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Shortest way of a parameter's value to the return."""
-    return df_.return_paths(cut(df_.flow_edges(_fns(spark, d))))
-
-
-@query("sinks_reached")
-def sinks_reached(spark: SparkSession, d: str) -> DataFrame:
-    """Dangerous calls that values of parameters reach."""
-    return df_.sinks_reached(cut(df_.flow_edges(_fns(spark, d))))
-
-
-@query("framework_sinks")
+@query("framework_sinks", "SELECT * FROM (VALUES (-21, 3, 'OPEN_REDIRECT', ['target']), (-22, 3, 'LOG_INJECTION', ['text'])) AS t(fn_id, line, kind, sources)")
 def framework_sinks(spark: SparkSession, d: str) -> DataFrame:
     """Lines with a redirect, header, log or pattern sink that values of parameters reach."""
-    return rk.framework_sinks(_fns(spark, d))
+    return rk.framework_sinks(_fns(spark, d).select("fn_id", "lang", "code").union(risky(spark)))
 
 
-@query("error_handling")
+@query("error_handling", "SELECT * FROM (VALUES (-24, 'FAILING_OPEN', 2), (-25, 'SWALLOWED', 2), (-26, 'NULL_DEREF', 3), (-28, 'ERROR_LEAK', 2), (-29, 'MISSING_PARAM', 2)) AS t(fn_id, kind, line)")
 def error_handling(spark: SparkSession, d: str) -> DataFrame:
     """Mishandled errors in Python functions and documents' Python code."""
     docs = table(spark, d, "documents").where("text is not null").select((-F.col("doc_id") - 1).alias("fn_id"), F.lit("python").alias("lang"), F.col("text").alias("code"))
-    return rk.error_handling(_fns(spark, d).select("fn_id", "lang", "code").union(docs))
+    return rk.error_handling(_fns(spark, d).select("fn_id", "lang", "code").union(docs).union(risky(spark))).select("fn_id", "kind", "line")
 
 
 @query("import_depths")

@@ -48,6 +48,13 @@ def test_error_handling(spark):
     assert got == {(1, "SWALLOWED", 1), (1, "FAILING_OPEN", 5), (1, "ERROR_LEAK", 9), (1, "NULL_DEREF", 17), (1, "MISSING_PARAM", 18)}
 
 
+def test_null_uses_of_names_and_handlers_on_one_line(spark):
+    code = "row = db.find(1)\n\n\n\n\n\n\nname = row.name\ntry:\n    f()\nexcept E: granted = 1\n"
+    safe = "row = db.find(1)\nif row is None:\n    raise E\nname = row.name\n"
+    df = spark.createDataFrame([(1, "python", code), (2, "python", safe)], "fn_id bigint, lang string, code string")
+    assert {(r.fn_id, r.kind, r.line) for r in rk.error_handling(df).collect()} == {(1, "NULL_DEREF", 8), (1, "FAILING_OPEN", 9)}
+
+
 def test_framework_sinks(spark):
     rows = [(1, "python", "def f(url):\n    to = url\n    return redirect(to)"), (2, "python", "def g(url):\n    return redirect('/home')"), (3, "python", "def h(m):\n    logger.info('a' + m)\n    logger.info('a\\n' + m)")]
     got = {(r.fn_id, r.kind, r.line) for r in rk.framework_sinks(spark.createDataFrame(rows, "fn_id bigint, lang string, code string")).collect()}
@@ -56,4 +63,4 @@ def test_framework_sinks(spark):
 
 def test_layers(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("z", "x"), (None, "q")], "src string, dst string")
-    assert {(r.node, r.depth) for r in rk.layers(e).collect()} == {("c", 0), ("b", 1), ("a", 2)}
+    assert {(r.node, r.depth) for r in rk.layers(e).collect()} == {("c", 0), ("b", 1), ("a", 2), ("x", 0), ("y", 0), ("z", 1)}
