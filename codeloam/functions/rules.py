@@ -356,3 +356,20 @@ SKIPPED_DIRS = [
 ]
 MOST_CHARS, MOST_FILES, HISTORY = 20_000, 500, 5
 SHAPE_KEYS = 92  # name-invariant dims over which spread and skew are taken
+
+# --- fixed values: marks of the languages in order; three specific ones stand before the others -----------------------
+ADAPTER_MARKS = {
+    "typescript": [": string", ": number", "interface ", "type ", "number[]"],
+    "cpp": ["#include", "std::", "cout", "vector"],
+    "csharp": ["using System", "Console.WriteLine", "foreach", "namespace"],
+    "python": ["def ", "print(", "import "],
+    "javascript": ["function ", "console.log", "=>"],
+    "java": ["public ", "class ", "System.out", "int[]"],
+    "c": ["#include", "printf(", "int main", "malloc"],
+    "go": ["package ", "func ", "fmt.Println", ":="],
+    "rust": ["fn ", "let mut", "println!", "impl "],
+    "ruby": ["def ", "puts ", "require ", "do |"],
+    "php": ["<?php", "function ", "echo ", "$"],
+    "swift": ["func ", "print(", "import Foundation"],
+    "kotlin": ["fun ", "println(", "val ", "package "],
+}
