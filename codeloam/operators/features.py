@@ -1,4 +1,4 @@
-"""Projections of code to features: primitives, intents, operations, efficiency, flow, properties. No shuffle anywhere."""
+"""Projections of code to features: primitives, intents, operations, efficiency, flow, properties. They shuffle nothing; only ``functions_of`` compares repeated rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloam.functions import lex, rules
 from codeloam.operators import vectors
+from codeloam.session import without_repeats
 
 LANGUAGE = {"py": "python", "python3": "python", "js": "javascript", "golang": "go"}
 
@@ -17,7 +18,7 @@ def functions_of(table: DataFrame) -> DataFrame:
     """(fn_id, project, file, lang, code) of distinct functions with code; language labels in their plain form."""
     plain = F.lower(F.trim("language"))
     lang = F.coalesce(F.create_map(*[F.lit(x) for kv in LANGUAGE.items() for x in kv])[plain], plain)
-    return table.where("fn_id is not null and full_code is not null").select("fn_id", "project", "file", lang.alias("lang"), F.col("full_code").alias("code")).distinct()
+    return without_repeats(table.where("fn_id is not null and full_code is not null").select("fn_id", "project", "file", lang.alias("lang"), F.col("full_code").alias("code")), "fn_id")
 
 
 def with_tokens(df: DataFrame) -> DataFrame:
@@ -55,24 +56,8 @@ def detected_language(code: Column) -> Column:
 
 def adapter_language(code: Column) -> Column:
     """The language whose marks stand in the code; first registered first, three specific ones before the others."""
-    # fixed values: marks of the languages in order
-    marks = {
-        "typescript": [": string", ": number", "interface ", "type ", "number[]"],
-        "cpp": ["#include", "std::", "cout", "vector"],
-        "csharp": ["using System", "Console.WriteLine", "foreach", "namespace"],
-        "python": ["def ", "print(", "import "],
-        "javascript": ["function ", "console.log", "=>"],
-        "java": ["public ", "class ", "System.out", "int[]"],
-        "c": ["#include", "printf(", "int main", "malloc"],
-        "go": ["package ", "func ", "fmt.Println", ":="],
-        "rust": ["fn ", "let mut", "println!", "impl "],
-        "ruby": ["def ", "puts ", "require ", "do |"],
-        "php": ["<?php", "function ", "echo ", "$"],
-        "swift": ["func ", "print(", "import Foundation"],
-        "kotlin": ["fun ", "println(", "val ", "package "],
-    }
     out = F.when(F.lit(False), "")
-    for name, parts in marks.items():
+    for name, parts in rules.ADAPTER_MARKS.items():
         out = out.when(reduce(lambda a, b: a | b, [F.contains(code, F.lit(m)) for m in parts]), name)
     return out.otherwise("python")
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloam.session import cut
+from codeloam.session import cut, without_repeats
 
 SPAN_BITS = 6  # lines of a bucket of the range join: 64
 
 
 def units_of(table: DataFrame) -> DataFrame:
     """Distinct units with what the graph operators read."""
-    return table.select("unit_id", "project", "file", "name", "params", "call_sites", "body").distinct()
+    return without_repeats(table.select("unit_id", "project", "file", "name", "params", "call_sites", "body"), "unit_id")
 
 
 def calls(units: DataFrame) -> DataFrame:
@@ -80,12 +80,12 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return reached
 
 
-def is_acyclic(edges: DataFrame, most: int = 64) -> bool:
-    """Peels nodes without incoming edges until none is left, or none can go."""
+def is_acyclic(edges: DataFrame) -> bool:
+    """Peels nodes without incoming edges until none is left, or none can go; every round but the last drops some."""
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     if edges.where("src = dst").limit(1).count():
         return False
-    for _ in range(most):
+    while True:
         left = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
         a, b = left.count(), e.count()
         if a == 0:
@@ -93,7 +93,6 @@ def is_acyclic(edges: DataFrame, most: int = 64) -> bool:
         if a == b:
             return False
         e = left
-    raise RuntimeError("longer chains than the limit")
 
 
 def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str) -> DataFrame:
@@ -134,6 +133,11 @@ def imports(units: DataFrame) -> DataFrame:
 
 
 def next_in_group(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
-    """Each row with columns of the next row of its group, under names with a 2."""
+    """Each row with columns of the next row of its group, under names with a 2; ``order`` tells rows apart.
+
+    Only keys and ``order`` are sorted, so a group of a third of all rows moves ids; what the rows hold joins by id.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    return df.select("*", *[F.lead(c).over(w).alias(f"{c}2") for c in cols]).where(F.col(f"{cols[0]}2").isNotNull())
+    ids = df.select(*keys, order).withColumn("_next", F.lead(order).over(w)).where("_next is not null").select(F.col(order).alias("_this"), "_next")
+    right = df.select(F.col(order).alias("_other"), *[F.col(c).alias(f"{c}2") for c in cols])
+    return df.join(ids, F.col(order) == F.col("_this")).join(right, F.col("_next") == F.col("_other")).drop("_this", "_next", "_other")

@@ -72,3 +72,17 @@ def salt_width(spark: SparkSession) -> int:
 def bounded(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if a count proves it has at most ``max_rows`` rows, else as it is (a shuffle join)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def without_repeats(df: DataFrame, key: str) -> DataFrame:
+    """The distinct rows of ``df``, whose rows with equal ``key`` are mostly equal, without moving the others.
+
+    A small scan is spread over the cores anyway, and the same exchange drops the repeats. Of a large one only the keys
+    that stand more than once are counted; their rows alone are compared whole, all others pass where they are, as long
+    as the list of repeated keys is small enough for every executor.
+    """
+    if df.rdd.getNumPartitions() < width(df.sparkSession):
+        return df.distinct()
+    repeated = bounded(df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("_k")), 1_000_000)
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    return df.join(repeated, same, "left_anti").union(df.join(repeated, same, "left_semi").distinct())
