@@ -177,7 +177,7 @@ def p2_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions that are not valid in their language: those whose least syntax repair has a cost."""
-    return syntax.syntax_repairs(table(spark, sf_dir, "universal_function")).where(syntax.broken()).select("fn_id").distinct()
+    return syntax.broken_functions(table(spark, sf_dir, "universal_function"))
 
 
 @query("p4_repairs")
