@@ -17,6 +17,7 @@ RUN = 10  # words of the shortest passage, and of a window
 RADIUS = 3  # Hamming radius that the index guarantees: one of RADIUS + 1 blocks is equal
 SHINGLE = 5  # words of a shingle of the similarity
 ITEMS_AT_ONCE = 5_000  # items indexed together; more are searched in slices, so the index stays bounded
+CHARS_AT_ONCE = 4_000_000  # characters of the items of a slice
 CHUNK = 1 << 17  # words fingerprinted at once
 FOUND = "doc_id bigint, item_id bigint, shared_runs int, near_runs int, longest_run int, similarity double"
 
@@ -150,15 +151,14 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     Documents are never compared with each other and need no shuffle of results. Whole texts are searched. Null or
     short texts and items find nothing; repeated rows give repeated rows, of equal item ids each row counts; empty
-    tables give an empty result; other columns are ignored. Items are indexed in slices of ITEMS_AT_ONCE, which bounds
-    what executors hold; each slice is another pass.
+    tables give an empty result; other columns are ignored. Items are indexed in slices of bounded length, which bounds
+    what the driver and the executors hold; each slice is another pass.
     """
     spark = documents.sparkSession
     docs = spread(documents.select("doc_id", "text").where("text is not null"), "doc_id")
-    rows = [(r.item_id, r.text) for r in items.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator()]
     out = None
-    for s in range(0, max(1, len(rows)), ITEMS_AT_ONCE):
-        index = spark.sparkContext.broadcast(ItemIndex(rows[s : s + ITEMS_AT_ONCE]))
+    for part in _slices(items):
+        index = spark.sparkContext.broadcast(ItemIndex(part))
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             seen = _Hashes()
@@ -166,6 +166,20 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
                 found = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"]) for x in index.value.search(word_hashes(t, seen))]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "shared_runs", "near_runs", "longest_run", "similarity"])
 
-        part = docs.mapInPandas(search, FOUND)
-        out = part if out is None else out.union(part)
+        near = docs.mapInPandas(search, FOUND)
+        out = near if out is None else out.union(near)
     return out
+
+
+def _slices(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in slices of at most ITEMS_AT_ONCE and CHARS_AT_ONCE; one slice at a time is held, an item longer than
+    that alone. An empty table is one empty slice."""
+    part, chars, any_ = [], 0, False
+    for r in items.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator():
+        if part and (len(part) == ITEMS_AT_ONCE or chars + len(r.text) > CHARS_AT_ONCE):
+            yield part
+            part, chars, any_ = [], 0, True
+        part.append((r.item_id, r.text))
+        chars += len(r.text)
+    if part or not any_:
+        yield part

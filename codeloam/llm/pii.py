@@ -31,7 +31,7 @@ DISGUISES = re.compile(
     re.I,
 )
 PLAIN_AT = re.compile(r"@[\w-]+(?:(?:\.| dot )[\w-]+)*")
-PLAIN_DOT = re.compile(r" dot ")
+PLAIN_DOT = re.compile(r" dot ", re.I)
 
 
 def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -61,8 +61,8 @@ def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
         at = m.end()
         if m["at"]:
             put("@", m.start(), m.end())
-            host = re.compile(r"[\w-]+(?: dot [\w-]+)+").match(text, m.end())
-            if host and m["at"].strip() == "at":  # a host spelled with dots after a spelled at
+            host = re.compile(r"[\w-]+(?: dot [\w-]+)+", re.I).match(text, m.end())
+            if host and m["at"].strip().lower() == "at":  # a host spelled with dots after a spelled at
                 p = m.end()
                 for d in PLAIN_DOT.finditer(text, m.end(), host.end()):
                     copy(p, d.start())
@@ -109,15 +109,17 @@ ADDRESS = re.compile(
     r"|(?<![\w-])[A-Z][a-z]+(?:strasse|straße|str\.|weg|gasse|allee|platz)\ \d{1,4}\ ?[a-z]?(?![\w-])(?:,\ \d{5}\ [A-Z][a-z]+)?"
 )
 
-_GIVEN = r"[A-Z][a-z]+"
-_SURNAME = r"(?:(?:van|von|de|del|da|la|ter)[- ])?(?:O['’]|Mc|Mac|D['’])?[A-Z][A-Za-z]+(?:-(?:(?:van|von|de|O['’])-?)?[A-Z][A-Za-z]+)*"
-_SURNAME = rf"(?:{_SURNAME}|[a-z]{{2,3}}-[A-Z][A-Za-z]+(?:-[A-Z][A-Za-z]+)*)"
-_NAME = rf"(?:{_GIVEN}(?:\ [A-Z]\.)?\ {_SURNAME}|{_SURNAME},\ {_GIVEN}(?:\ [A-Z]\.)?)"
+#: Capital and small letters of Latin names, accented ones among them.
+_UP, _LOW = r"A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĮİĶĹĻĽŁŃŅŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽȘȚ", r"a-zß-öø-ÿāăąćčďđēęěğģīįıķĺļľłńņňōőœŕřśşšţťūůűųźżžșț"
+_GIVEN = rf"[{_UP}][{_LOW}]+"
+_SURNAME = rf"(?:(?:van|von|de|del|da|la|ter)[- ])?(?:O['’]|Mc|Mac|D['’])?[{_UP}][{_UP}{_LOW}]+(?:-(?:(?:van|von|de|O['’])-?)?[{_UP}][{_UP}{_LOW}]+)*"
+_SURNAME = rf"(?:{_SURNAME}|[a-z]{{2,3}}-[{_UP}][{_UP}{_LOW}]+(?:-[{_UP}][{_UP}{_LOW}]+)*)"
+_NAME = rf"(?:{_GIVEN}(?:\ [{_UP}]\.)?\ {_SURNAME}|{_SURNAME},\ {_GIVEN}(?:\ [{_UP}]\.)?)"
 NAME = re.compile(rf"(?<![\w'-]){_NAME}(?![\w'-])")
 #: Places that announce a person, as regular expressions around a name.
 ANNOUNCED = [
     re.compile(rf"(?:^|(?<=[\n \"#/*>]))(?:Signed-off-by|Reviewed-by|Acked-by|Tested-by|Co-authored-by|Reported-by|Author|Maintainer|Contact|Owner|owner|From|Cc|cc):?\ (?P<n>{_NAME})(?![\w'-])", re.M),
-    re.compile(rf"(?:[Rr]eported by|[Tt]hanks to|\b[Aa]sk|\bHi|\bDear|\bHello|go to|[Cc]all(?:ed)? by|written by|[Pp]ing)\ (?P<n>{_NAME})(?=[ ,.;:(!?\n]|$)"),
+    re.compile(rf"(?:[Rr]eported by|[Aa]ccording to|[Tt]hanks to|\b[Aa]sk|\bHi|\bDear|\bHello|go to|[Cc]all(?:ed)? by|written by|[Pp]ing)\ (?P<n>{_NAME})(?=[ ,.;:(!?\n]|$)"),
     re.compile(rf"(?:\b(?:Dr|Mr|Mrs|Ms|Prof)\.?)\ (?P<n>{_NAME})(?![\w'-])"),
     re.compile(rf"\"name\"\s*:\s*\"(?P<n>{_NAME})\""),
     re.compile(rf"\w+\.add\(\"(?P<n>{_NAME})\","),
@@ -128,7 +130,7 @@ ANNOUNCED = [
 ]
 #: Capitalised words that open a sentence or a label and are no given names.
 OPENERS = {"Ask", "Hi", "Dear", "Hello", "Thanks", "Best", "Reported", "Contact", "Call", "Author", "Maintainer", "Owner", "The", "This", "That", "Row", "See", "If", "Each", "Old", "Both", "No", "Two", "Merge", "Grade", "Dr", "Mr", "Mrs", "Ms", "Prof", "Ping", "Cc", "From", "To", "In", "On", "At", "After", "Note", "Fixed", "Version", "Does", "We", "Flat", "Apt"}
-_PART = re.compile(r"[A-Za-z][a-z]{2,}|[A-Z]{3,}")
+_PART = re.compile(rf"[{_UP}{_LOW}][{_LOW}]{{2,}}|[{_UP}]{{3,}}")
 
 
 def _names(text: str, known: set[str]) -> Iterator[tuple[int, int]]:

@@ -61,3 +61,12 @@ def test_table(spark):
     assert got == {(1, None): 0, (2, ""): 0, (3, "[EMAIL]"): 1, (None, "[EMAIL]"): 1, (4, "word " * 200_000 + "[EMAIL]"): 1}
     assert pii.mask_documents(docs, names).count() == 6
     assert pii.mask_documents(docs.limit(0), names.limit(0)).count() == 0
+
+
+def test_accented_names_and_disguises_in_capitals():
+    shown = lambda text: [(text[b:e], k) for b, e, k in pii.find_spans(text)]
+    assert shown("Regards,\nMaría García\n") == [("María García", "person_name")]
+    assert shown("Hi Łukasz Nowak, the build is red") == [("Łukasz Nowak", "person_name")]
+    assert shown("Signed-off-by: José Álvarez") == [("José Álvarez", "person_name")]
+    assert shown("According to Maria Lopez, it fails") == [("Maria Lopez", "person_name")]
+    assert shown("mail john.doe AT example DOT com please") == [("john.doe AT example DOT com", "email")]
