@@ -32,6 +32,15 @@ RISKY = [
     (-29, "python", "def read(params):\n    return params['page']\n"),
 ]
 
+TYPED = [
+    (-41, "python", "def total(xs: list, n: int) -> int:\n    return sum(xs) + n\n\ndef go(k):\n    rows = [1, 2]\n    total('a', 3)\n    total(rows, k)\n    return total(4, rows)\n"),
+]
+
+
+def typed(spark: SparkSession) -> DataFrame:
+    """(fn_id, lang, code) of a text whose calls have a wrong, a right and a swapped order of arguments."""
+    return spark.createDataFrame(TYPED, "fn_id bigint, lang string, code string")
+
 
 def risky(spark: SparkSession) -> DataFrame:
     """(fn_id, lang, code) of texts with framework sinks and mishandled errors."""

@@ -155,3 +155,26 @@ def library_roles_used(spark: SparkSession, d: str) -> DataFrame:
     """How many texts use which role of which libraries."""
     texts = _fns(spark, d).select("fn_id", "lang", "code").union(lb.planted(spark))
     return lb.library_calls(texts, lb.planted_libraries(spark)).groupBy("lang", "source", "role").agg(F.count_distinct("fn_id").alias("texts"))
+
+
+@query(
+    "call_graph_vector",
+    f"""
+    WITH {pr._U}, e AS (SELECT DISTINCT c.project, caller, callee FROM c JOIN d ON d.project = c.project AND d.name = c.callee WHERE caller <> '<module>'),
+    fns AS (SELECT project, count(DISTINCT name) AS functions, sum(len(regexp_extract_all(coalesce(body, ''), '\\bif\\b'))) AS branches, sum(len(regexp_extract_all(coalesce(body, ''), '\\b(?:for|while)\\b'))) AS loops FROM u WHERE name IS NOT NULL AND name <> '<module>' GROUP BY project),
+    o AS (SELECT project, max(n) AS fan_out FROM (SELECT project, caller, count(*) AS n FROM e GROUP BY ALL) GROUP BY project), i AS (SELECT project, max(n) AS fan_in FROM (SELECT project, callee, count(*) AS n FROM e GROUP BY ALL) GROUP BY project),
+    g AS (SELECT project, count(*) AS calls, (count(*) FILTER (WHERE caller = callee)) AS recursive FROM e GROUP BY project)
+    SELECT fns.project, functions, coalesce(calls, 0) AS calls, coalesce(recursive, 0) AS recursive, coalesce(fan_out, 0) AS max_fan_out, coalesce(fan_in, 0) AS max_fan_in, branches::BIGINT AS branches, loops::BIGINT AS loops
+    FROM fns LEFT JOIN g USING (project) LEFT JOIN o USING (project) LEFT JOIN i USING (project) WHERE fns.project IS NOT NULL
+    """,
+)
+def call_graph_vector(spark: SparkSession, d: str) -> DataFrame:
+    """Functions, calls between them, recursion, greatest fan-in and fan-out, branches and loops of every project."""
+    units = gr.units_of(table(spark, d, "function_unit"))
+    defs = gr.definitions(units).select("project", F.col("name").alias("callee"))
+    e = gr.calls(units).where("caller <> '<module>'").join(defs, ["project", "callee"]).select("project", "caller", "callee").distinct()
+    fns = units.where("project is not null and name is not null and name <> '<module>'").groupBy("project").agg(F.count_distinct("name").alias("functions"), F.sum(F.regexp_count(F.coalesce("body", F.lit("")), F.lit(r"\bif\b"))).alias("branches"), F.sum(F.regexp_count(F.coalesce("body", F.lit("")), F.lit(r"\b(?:for|while)\b"))).alias("loops"))
+    g = e.groupBy("project").agg(F.count("*").alias("calls"), F.count_if(F.col("caller") == F.col("callee")).alias("recursive"))
+    o = e.groupBy("project", "caller").agg(F.count("*").alias("n")).groupBy("project").agg(F.max("n").alias("max_fan_out"))
+    i = e.groupBy("project", "callee").agg(F.count("*").alias("n")).groupBy("project").agg(F.max("n").alias("max_fan_in"))
+    return fns.join(g, "project", "left").join(o, "project", "left").join(i, "project", "left").na.fill(0).select("project", "functions", "calls", "recursive", "max_fan_out", "max_fan_in", "branches", "loops")

@@ -10,10 +10,11 @@ from codeloam.operators import crossfile as cf
 from codeloam.operators import graph as gr
 from codeloam.operators import issues as iss
 from codeloam.operators import paths as pt
+from codeloam.operators import typeflow as tf
 from codeloam.plans import sqltext as sq
 from codeloam.plans.core import query
 from codeloam.plans.features import _fns
-from codeloam.plans.planted import planted, planted_units, units_sql
+from codeloam.plans.planted import planted, planted_units, typed, units_sql
 from codeloam.session import cut, table
 
 
@@ -232,3 +233,32 @@ def cross_file_flows(spark: SparkSession, d: str) -> DataFrame:
 def passed_arguments(spark: SparkSession, d: str) -> DataFrame:
     """Arguments of calls by the parameter they stand for."""
     return cf.passed_arguments(_units(spark, d))
+
+
+#: By hand: 'a' is no list; k takes the type of n; 4 and rows stand in each other's place.
+FLOWS = [
+    (-41, "go", 6, "'a'", "xs", "STR", "LIST", False, True, False),
+    (-41, "go", 6, "3", "n", "INT", "INT", False, False, False),
+    (-41, "go", 7, "rows", "xs", "LIST", "LIST", False, False, False),
+    (-41, "go", 7, "k", "n", "INT", "INT", False, False, False),
+    (-41, "go", 8, "4", "xs", "INT", "LIST", False, True, True),
+    (-41, "go", 8, "rows", "n", "LIST", "INT", False, True, True),
+]
+
+
+@query("type_flow", _table(FLOWS, ["fn_id", "caller", "line", "arg", "param", "arg_type", "param_type", "propagated", "error", "swapped"]))
+def type_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Types of arguments against those of the parameters they stand for, between the functions of each text."""
+    return tf.type_flow(_fns(spark, d).select("fn_id", "lang", "code").union(typed(spark))).drop("callee")
+
+
+@query("inferred_types")
+def inferred_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types of the names of Python texts by annotation, value, use and calls."""
+    return tf.inferred_types(_fns(spark, d))
+
+
+@query("type_profiles_inferred")
+def type_profiles_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Unit vectors of those types, the same under renaming."""
+    return tf.profiles(tf.inferred_types(_fns(spark, d)))
