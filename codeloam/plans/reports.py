@@ -8,22 +8,28 @@ MOST_LINES = 50
 
 
 def markdown(title: str, sections: dict[str, DataFrame]) -> str:
-    """A document with one table per section, MOST_LINES rows at most; empty sections are left out."""
+    """A document with one table per section; of a longer one the first MOST_LINES rows and their number; empty sections are left out."""
     out = [f"# {title}", ""]
     for name, df in sections.items():
-        rows = df.limit(MOST_LINES).collect()
+        rows = df.limit(MOST_LINES + 1).collect()
         if rows:
             out += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-            out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows]
+            out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows[:MOST_LINES]]
+            if len(rows) > MOST_LINES:
+                out += ["", f"The first {MOST_LINES} of {df.count()} rows."]
             out.append("")
     return "\n".join(out)
 
 
 def mermaid(edges: DataFrame, label: str = "calls") -> str:
-    """A flow chart of edges (src, dst), MOST_LINES at most."""
+    """A flow chart of edges (src, dst); of more than MOST_LINES the first ones, and a comment with their number."""
     names: dict[str, str] = {}
     out = ["flowchart LR"]
-    for r in edges.select("src", "dst").distinct().orderBy("src", "dst").limit(MOST_LINES).collect():
+    every = edges.select("src", "dst").distinct()
+    rows = every.orderBy("src", "dst").limit(MOST_LINES + 1).collect()
+    if len(rows) > MOST_LINES:
+        out.append(f"  %% the first {MOST_LINES} of {every.count()} edges")
+    for r in rows[:MOST_LINES]:
         for n in (r.src, r.dst):
             if n not in names:
                 names[n] = f"n{len(names)}"
