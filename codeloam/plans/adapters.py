@@ -10,7 +10,7 @@ from codeloam.operators import adapters as ad
 from codeloam.operators import graph as gr
 from codeloam.operators import vectors as vx
 from codeloam.plans import sqltext as sq
-from codeloam.plans.core import query
+from codeloam.plans.core import SQL, query
 from codeloam.plans.features import _LINE_STRIPPED, _fns
 from codeloam.session import table
 
@@ -22,6 +22,14 @@ def _lang_sql(lang: str, code: str) -> str:
     return f"CASE WHEN {lang} IN ({', '.join(map(sq.q, ad.HEADS))}) THEN {lang} {marks} ELSE 'python' END"
 
 
+def _marks_sql(code: str) -> str:
+    marks = " ".join(f"WHEN {' OR '.join(sq.holds(code, m) for m in parts)} THEN {sq.q(n)}" for n, parts in rules.ADAPTER_MARKS.items())
+    return f"CASE {marks} ELSE 'python' END"
+
+
+SQL["adapter_language"] = f"WITH {sq.FNS} SELECT coalesce(lang, '-') AS labelled, {_marks_sql('code')} AS adapter, count(*) AS functions FROM fns GROUP BY ALL"
+
+
 def _count_sql(p: str) -> str:
     def pats(name: str | None) -> str:
         own = ad.OWN[name].get(p) if name else ad.DEFAULT.get(p)

@@ -41,14 +41,18 @@ def clone_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.select(F.col("id").alias("fn_id"), F.col("cls").alias("class_id"))
 
 
-@query("structural_clone_pairs")
+@query("structural_clone_pairs", f"""
+    WITH b AS (SELECT fn_id AS id, token, n FROM ({SQL['structural_bag']})),
+    k AS (SELECT id, string_agg(token || chr(1) || n, chr(2) ORDER BY token) AS bag FROM b GROUP BY id), h AS (SELECT bag, min(id) AS cls FROM k GROUP BY bag),
+    r AS (SELECT b.id, token, n / sqrt(sum(n * n) OVER (PARTITION BY b.id)) AS x FROM b JOIN h ON h.cls = b.id)
+    SELECT a.id AS a, c.id AS b, round(sum(a.x * c.x), 4) AS cosine FROM r a JOIN r c ON a.token = c.token AND a.id < c.id GROUP BY a.id, c.id HAVING round(sum(a.x * c.x), 9) >= 0.95""")
 def structural_clone_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The same with names masked: bags of structure, between the first functions of each bag."""
     _, links = cl.bag_links(cl.bags(_fns(spark, d), structural=True), 0.95)
     return links.select("a", "b", F.round("cosine", 4).alias("cosine"))
 
 
-@query("bug_scores")
+@query("bug_scores", f"SELECT fn_id, round(least(1.0, sum(w)), 6)::DOUBLE AS score, count(*) AS bugs FROM (SELECT fn_id, 0.4 AS w FROM ({SQL['returns_in_loops']}) UNION ALL SELECT fn_id, 0.15 FROM ({SQL['unused_assignments']})) GROUP BY fn_id")
 def bug_scores(spark: SparkSession, d: str) -> DataFrame:
     """Severity of the bugs of every function that has some: capped weighted sum over returns in loops, unused and undefined names."""
     fns = _fns(spark, d)
@@ -120,14 +124,18 @@ def mean_contributors(spark: SparkSession, d: str) -> DataFrame:
     return both.join(n, F.col("project").eqNullSafe(F.col("p"))).select("project", "dim", F.round(F.round("s", 4) / F.col("n"), 6).alias("mean"), "contributors")
 
 
-@query("top_outliers")
+@query("top_outliers", f"""
+    WITH v AS (SELECT fn_id AS id, dim, value FROM ({SQL['prim_vector']})), k AS (SELECT dim, sum(value) / (SELECT count(DISTINCT id) FROM v) AS c FROM v GROUP BY dim),
+    d AS (SELECT id, sqrt(greatest(0, sum(value * value) - 2 * sum(value * c) + (SELECT sum(c * c) FROM k))) AS score FROM v JOIN k USING (dim) GROUP BY id),
+    o AS (SELECT id, score, score > avg(score) OVER () + 2 * stddev_pop(score) OVER () AS is_outlier FROM d)
+    SELECT id AS fn_id, round(round(score, 6), 3) AS score, is_outlier FROM o ORDER BY round(round(score, 6), 3) DESC, id LIMIT 10""")
 def top_outliers(spark: SparkSession, d: str) -> DataFrame:
     """The ten functions farthest from the centroid of the primitive vectors; ties by id."""
     vec = vx.unit_rows(ft.with_tokens(_fns(spark, d)), ["fn_id"], vx.packed(_prims())).withColumnRenamed("fn_id", "id")
     return sim.outliers(vec).orderBy(F.desc(F.round("score", 3)), "id").limit(10).select(F.col("id").alias("fn_id"), F.round("score", 3).alias("score"), "is_outlier")
 
 
-@query("ranked_algorithms")
+@query("ranked_algorithms", f"SELECT fn_id, list(name ORDER BY score DESC, list_position([{', '.join(sq.q(a[0]) for a in rules.ALGORITHMS)}], name)) AS algorithms FROM ({SQL['algorithms']}) GROUP BY fn_id")
 def ranked_algorithms(spark: SparkSession, d: str) -> DataFrame:
     """Algorithms of every function by score, best first in an array; ties by table order."""
     order = F.create_map(*[x for k, a in enumerate(rules.ALGORITHMS) for x in (F.lit(a[0]), F.lit(k))])
