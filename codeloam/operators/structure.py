@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,6 @@ TEMPLATES = {
     "ARITH_ADD": "return a + b", "ARITH_MUL": "return a * b", "WRITE": "print(total)", "READ": "data = input()", "SORT": "return sorted(arr)", "SEARCH": "return arr.index(x)",
     "FILTER": "if n % 2 == 0:", "STATE": "out.append(n)", "EXPR": "pass",
 }
-MOST_NODES = 2_000  # nodes of trees that are compared; the comparison takes their product
 
 
 def kind_of(line: str) -> str:
@@ -54,34 +54,48 @@ def signature(code: str | None) -> str | None:
     return text[0]
 
 
+def _forms(kinds: list[str], children: list[list[int]], known: dict[tuple, int]) -> list[int]:
+    """Number of each node's form: equal subtrees, of either text, have one number; ``known`` holds (kind, forms below)."""
+    form = [0] * len(kinds)
+    for n in range(len(kinds) - 1, -1, -1):
+        form[n] = known.setdefault((kinds[n], tuple(form[c] for c in children[n])), len(known))
+    return form
+
+
 def similarity(a: str | None, b: str | None) -> float | None:
-    """Share of children in the best common order, kind by kind and level by level; null for trees beyond MOST_NODES."""
+    """Share of children in the best common order, kind by kind and level by level.
+
+    Subtrees are compared once for each pair of their forms, and lists of children row by row, so texts of many
+    thousand lines are compared whole.
+    """
     if a is None or b is None:
         return None
-    (ka, ca), (kb, cb) = tree(a), tree(b)
-    if len(ka) > MOST_NODES or len(kb) > MOST_NODES:
-        return None
+    known: dict[tuple, int] = {}
+    top_a, top_b = _forms(*tree(a), known)[0], _forms(*tree(b), known)[0]
+    nodes = list(known)
     memo: dict[tuple[int, int], float] = {}
-    depth_first = [(0, 0, False)]
-    while depth_first:
-        x, y, ready = depth_first.pop()
+    todo = [(top_a, top_b, False)]
+    while todo:
+        x, y, ready = todo.pop()
         if (x, y) in memo:
             continue
-        if ka[x] != kb[y]:
+        (kx, cx), (ky, cy) = nodes[x], nodes[y]
+        if x == y:
+            memo[x, y] = 1.0
+        elif kx != ky or not cx or not cy:
             memo[x, y] = 0.0
-        elif not ca[x] or not cb[y]:
-            memo[x, y] = float(not ca[x] and not cb[y])
         elif not ready:
-            depth_first.append((x, y, True))
-            depth_first += [(p, q, False) for p in ca[x] for q in cb[y]]
+            todo.append((x, y, True))
+            todo += [(p, q, False) for p in set(cx) for q in set(cy) if (p, q) not in memo]
         else:
-            best = [0.0] * (len(cb[y]) + 1)
-            for p in ca[x]:
-                diagonal = 0.0
-                for k, q in enumerate(cb[y], 1):
-                    diagonal, best[k] = best[k], max(best[k], best[k - 1], diagonal + memo[p, q])
-            memo[x, y] = best[-1] / max(len(ca[x]), len(cb[y]))
-    return memo[0, 0]
+            names = sorted(set(cy))
+            at = np.searchsorted(names, cy)
+            rows = {p: np.array([memo[p, q] for q in names])[at] for p in set(cx)}
+            best = np.zeros(len(cy) + 1)
+            for p in cx:
+                best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + rows[p]))
+            memo[x, y] = float(best[-1]) / max(len(cx), len(cy))
+    return memo[top_a, top_b]
 
 
 def assembled(code: str | None) -> str | None:

@@ -101,6 +101,8 @@ def test_structure():
     assert st.signature(a) == st.signature(b) == "ROOT(DEF(LOOP(AGGREGATE),RETURN))"
     assert st.similarity(a, b) == 1.0 and 0 < st.similarity(a, "def f(x):\n    return x") < 1 and st.similarity(a, "x = 0") == 0.0
     assert st.signature(st.assembled(a)) == st.signature(a) and st.signature("") == "ROOT" and st.similarity(None, a) is None
+    long = "\n".join(f"x{k} = {k}\nif x{k} > 3:\n    f(x{k})" for k in range(3000))
+    assert st.similarity(long, long) == 1.0 and 0 < st.similarity(long, long + "\nreturn x") < 1
 
 
 def test_functions_and_flow(spark):
