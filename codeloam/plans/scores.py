@@ -10,9 +10,13 @@ from codeloam.operators import clones as cl
 from codeloam.operators import detect as dt
 from codeloam.operators import features as ft
 from codeloam.operators import graph as gr
+from codeloam.operators import issues as iss
 from codeloam.operators import libraries as lb
+from codeloam.operators import paths as pt
+from codeloam.operators import properties as pp
 from codeloam.operators import similarity as sim
 from codeloam.operators import vectors as vx
+from codeloam.plans import planted as pl
 from codeloam.plans import projects as pr
 from codeloam.plans import sqltext as sq
 from codeloam.plans.core import SQL, query
@@ -186,3 +190,50 @@ def call_graph_vector(spark: SparkSession, d: str) -> DataFrame:
     o = e.groupBy("project", "caller").agg(F.count("*").alias("n")).groupBy("project").agg(F.max("n").alias("max_fan_out"))
     i = e.groupBy("project", "callee").agg(F.count("*").alias("n")).groupBy("project").agg(F.max("n").alias("max_fan_in"))
     return fns.join(g, "project", "left").join(o, "project", "left").join(i, "project", "left").na.fill(0).select("project", "functions", "calls", "recursive", "max_fan_out", "max_fan_in", "branches", "loops")
+
+
+def _prop_sql(d: str) -> str:
+    if d == "PROP:INPUTS":
+        return f"len(list_filter(string_split(regexp_extract(text, {sq.q(pp.HEAD)}, 1), ','), lambda p: trim(p) <> ''))"
+    if d in pp.COUNTS:
+        return sq.words_in("toks", pp.COUNTS[d])
+    seen = []
+    if d in pp.TYPE_WORDS:
+        seen.append(f"{sq.words_in('toks', pp.TYPE_WORDS[d])} > 0")
+    if d in pp.METHODS:
+        seen.append(f"len(list_filter(range(1, len(toks)), lambda i: toks[i] = '.' AND toks[i + 1] IN ({', '.join(map(sq.q, pp.METHODS[d]))}))) > 0")
+    if d in pp.TEXTS:
+        seen.append(sq.hit("text", pp.TEXTS[d]))
+    return f"({' OR '.join(seen)})::INT"
+
+
+_PROPS = {d: _prop_sql(d) for d in [*pp.FLAGS, "PROP:INPUTS", *pp.COUNTS]}
+
+
+@query("property_dims", f"WITH {sq.TOKS} {sq.long_sql('toks', 'fn_id', _PROPS, 'none')}")
+def property_dims(spark: SparkSession, d: str) -> DataFrame:
+    """Properties of data, control and effects of every function, and depth, branching and coupling."""
+    df = ft.with_tokens(_fns(spark, d)).withColumn("text", lex.stripped(F.col("code"))).withColumn("methods", pp.methods_of(F.col("toks")))
+    return vx.exploded(df, ["fn_id"], vx.packed(pp.dims(F.col("toks"), F.col("text"), F.col("methods"))))
+
+
+@query("text_risks")
+def text_risks(spark: SparkSession, d: str) -> DataFrame:
+    """Risk and worst severity of every text with findings."""
+    return pp.risks(iss.enriched_findings(_fns(spark, d).select("fn_id", "lang", "code").union(pl.planted(spark)), ["fn_id"]))
+
+
+@query("multi_channel")
+def multi_channel(spark: SparkSession, d: str) -> DataFrame:
+    """Each function against the next of its project over three channels: primitives 0.4, directions and strength of flow 0.3,
+    flow signatures without names 0.3."""
+    fns = _fns(spark, d)
+    prims = ft.with_tokens(fns).select("fn_id", "project", vx.packed(_prims()).alias("vec"))
+    both = pt.flow_directions(fns).join(pt.flow_intensities(fns), ["fn_id", "function"])
+    names = [c for c in both.columns if c not in ("fn_id", "function")]
+    flow = both.groupBy("fn_id").agg(*[F.sum(c).alias(c) for c in names]).select("fn_id", vx.packed({c: F.col(c) for c in names}).alias("flow"))
+    none = F.array().cast("array<struct<dim:string,value:double>>")
+    df = prims.join(flow, "fn_id", "left").join(pt.flow_signatures(fns), "fn_id", "left").select("fn_id", "project", "vec", F.coalesce("flow", none).alias("flow"), "signatures")
+    p = gr.next_in_group(df, ["project"], "fn_id", ["fn_id", "vec", "flow", "signatures"])
+    clone = F.coalesce(pt.signature_similarity(F.col("signatures"), F.col("signatures2")), F.lit(0.0))
+    return p.select(F.col("fn_id").alias("first_id"), F.col("fn_id2").alias("second_id"), F.round(0.4 * vx.cosine_of(F.col("vec"), F.col("vec2")) + 0.3 * vx.cosine_of(F.col("flow"), F.col("flow2")) + 0.3 * clone, 4).alias("similarity"))

@@ -64,3 +64,16 @@ def test_bag_links_against_brute_force(spark):
     want = {(a, b) for a in set(cls.values()) for b in set(cls.values()) if a < b and round(sum(n * bags[b][t] for t, n in bags[a].items()) / (norm[a] * norm[b]), 9) >= 0.7}
     assert {(r.a, r.b) for r in links.collect()} == want and want
     assert cl.bag_links(cl.bags(fns.limit(0)), 0.7)[1].count() == 0
+
+
+def test_properties_by_hand(spark):
+    from codeloam.functions import lex as lx
+    from codeloam.operators import features as ft
+    from codeloam.operators import properties as pp
+
+    df = ft.with_tokens(spark.createDataFrame([(1, "def f(a, b):\n    a.append(1.5)\n    try:\n        print(a)\n    except E:\n        return b.lower()\n    return {}")], "fn_id int, code string"))
+    df = df.withColumn("text", lx.stripped(F.col("code"))).withColumn("methods", pp.methods_of(F.col("toks")))
+    r = df.select(*[c.alias(d) for d, c in pp.dims(F.col("toks"), F.col("text"), F.col("methods")).items()]).first().asDict()
+    assert {d: n for d, n in r.items() if n} == {"PROP:NUM": 1, "PROP:LIST": 1, "PROP:DICT": 1, "PROP:MUTABLE": 1, "PROP:TRANSFORM": 1, "PROP:HANDLES_ERRORS": 1, "PROP:SIDE_EFFECTS": 1, "PROP:INPUTS": 2, "PROP:OUTPUTS": 2}
+    found = spark.createDataFrame([(1, "LOW", 0.3), (1, "HIGH", 0.65), (2, "CRITICAL", 0.9)], "fn_id int, severity string, score double")
+    assert {(x.fn_id, x.risk, x.severity) for x in pp.risks(found).collect()} == {(1, 0.7, "HIGH"), (2, 1.0, "CRITICAL")}
