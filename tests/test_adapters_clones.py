@@ -1,7 +1,9 @@
 import math
+import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloam.functions import lex, rules
@@ -66,6 +68,53 @@ def test_bag_links_against_brute_force(spark):
     assert cl.bag_links(cl.bags(fns.limit(0)), 0.7)[1].count() == 0
 
 
+def some_bags(n, copies=1):
+    rng = random.Random(5)
+    one = [Counter({"(": 9, **{rng.choice("abcdefghijklmnop") + str(j % 3): 1 + j for j in range(k % 7)}}) for k in range(n)]
+    return {k + n * c: one[k] for c in range(copies) for k in range(n)}
+
+
+def bag_rows(spark, bags):
+    return spark.createDataFrame([(k, t, n) for k, b in bags.items() for t, n in b.items()], "id bigint, token string, n bigint")
+
+
+def cosine(a, b):
+    return sum(n * b[t] for t, n in a.items()) / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+
+
+@pytest.mark.parametrize("block", [7, 10])
+def test_links_over_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(cl, "BLOCK", block)
+    monkeypatch.setattr(cl, "ROWS", 3)
+    bags = some_bags(60)
+    first = [k for k in bags if not any(bags[j] == bags[k] for j in range(k))]
+    want = {(a, b): round(cosine(bags[a], bags[b]), 9) for a in first for b in first if a < b and round(cosine(bags[a], bags[b]), 9) >= 0.8}
+    got = cl.bag_links(bag_rows(spark, bags), 0.8)[1].collect()
+    assert {(r.a, r.b): round(r.cosine, 9) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_links_and_classes_keep_no_pairs(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(cl, "cut", lambda df, real=cl.cut: rows.append(tuple(df.columns)) or real(df))
+    bag = bag_rows(spark, some_bags(30))
+    assert cl.bag_links(bag, 0.7)[1].count() > 0
+    assert cl.bag_classes(cl.packed_bags(bag)).count() == 30
+    assert all("id" in c and "b" not in c for c in rows)
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_nearest_bags_with_copies(spark, block, monkeypatch):
+    monkeypatch.setattr(cl, "BLOCK", block)
+    bags = some_bags(30, copies=4)
+    bags[500] = Counter({"alone": 2})
+    asked = [k for k in bags if k % 4 == 0]
+    got = {}
+    for r in cl.nearest_bags(bag_rows(spark, bags), spark.createDataFrame([(k,) for k in asked], "id bigint"), 5).collect():
+        got.setdefault(r.asked_id, {})[r["rank"]] = (r.id, r.cosine)
+    want = {a: sorted((-round(c, 6), j) for j in bags if j != a and (c := cosine(bags[a], bags[j])) > 0)[:5] for a in asked if a != 500}
+    assert {a: [x[k][0] for k in sorted(x)] for a, x in got.items()} == {a: [j for _, j in x] for a, x in want.items()}
+
+
 def test_properties_by_hand(spark):
     from codeloam.functions import lex as lx
     from codeloam.operators import features as ft
