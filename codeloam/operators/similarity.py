@@ -31,19 +31,6 @@ def literal_penalty(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0) & (a != b), rules.LITERAL_PENALTY).otherwise(0.0)
 
 
-def nearest_by_bag(bags: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(asked_id, rank, id, cosine): the ``k`` bags (id, token, n) nearest to each asked one by cosine, by an inverted index.
-
-    Norms are small and travel with the postings; pairs are summed map-side before the shuffle on (asked, id).
-    """
-    norms = bags.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    b = bags.join(norms, "id").select("id", "token", (F.col("n") / F.col("norm")).alias("x"))
-    a = b.join(asked.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("asked_id"), "token", F.col("x").alias("y"))
-    dots = b.join(a, "token").where("id <> asked_id").groupBy("asked_id", "id").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("cosine"))
-    w = Window.partitionBy("asked_id").orderBy(F.desc("cosine"), "id")
-    return dots.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def outliers(vec: DataFrame, k: float = 2.0) -> DataFrame:
     """(id, score, is_outlier): distance to the centroid over all dims, missing ones 0; outliers lie beyond mean + k deviations.
 

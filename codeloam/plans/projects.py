@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloam.functions import lex, rules
+from codeloam.operators import clones as cl
 from codeloam.operators import detect as dt
 from codeloam.operators import features as ft
 from codeloam.operators import graph as gr
@@ -267,18 +268,15 @@ def participation_ratio(spark: SparkSession, d: str) -> DataFrame:
     return k.agg(F.count("*").alias("dims"), F.round(F.sum("var") * F.sum("var") / F.sum(F.col("var") * F.col("var")), 4).alias("ratio"))
 
 
-def _bags(spark: SparkSession, d: str) -> DataFrame:
-    return _fns(spark, d).select(F.col("fn_id").alias("id"), F.explode(lex.bag_tokens(F.col("code"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
-
-
 _BAG = f"{sq.FNS}, b AS (SELECT fn_id AS id, t AS token, count(*) AS n FROM (SELECT fn_id, unnest(regexp_extract_all(code, {sq.q(lex.BAG_TOKEN)})) AS t FROM fns) GROUP BY ALL), m AS (SELECT id, token, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM b)"
 
 
 @query("clone_search", f"WITH {_BAG}, c AS (SELECT a.id AS asked_id, o.id AS id, round(sum(a.x * o.x), 6) AS cosine FROM m a JOIN m o ON a.token = o.token AND a.id <> o.id WHERE a.id % 50 = 0 GROUP BY ALL) SELECT asked_id, id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY asked_id ORDER BY cosine DESC, id) AS rank FROM c) WHERE rank <= 5")
 def clone_search(spark: SparkSession, d: str) -> DataFrame:
     """The five functions nearest by token bag to each function whose id is divisible by 50."""
-    bags = _bags(spark, d)
-    return sim.nearest_by_bag(bags, bags.where("id % 50 = 0").select("id"), 5).select("asked_id", "id", "cosine", "rank")
+    fns = _fns(spark, d)
+    asked = fns.where("fn_id % 50 = 0").select(F.col("fn_id").alias("id"))
+    return cl.nearest_bags(cl.bags(fns), asked, 5).select("asked_id", "id", "cosine", "rank")
 
 
 _LIT = "list_sort(list_distinct([toks[i] FOR i IN range(1, len(toks) + 1) IF regexp_full_match(toks[i], '\\d+(?:\\.\\d+)?') AND (coalesce(toks[i - 1], '') IN ({0}) OR coalesce(toks[i + 1], '') IN ({0}))]))".format(", ".join(map(sq.q, sim._NEAR)))
