@@ -1,6 +1,11 @@
+import os
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from codeloam.llm import neardup
+from codeloam.session import CLEAN, cut
 
 ROWS = "fn_id bigint, full_code string, cls bigint, key bigint, n int"
 
@@ -71,3 +76,34 @@ def test_similarity_at_the_limit(spark):
     b = " ".join([f"t{k}" for k in range(8)] + ["u1", "u2"])
     members, links = neardup.near_duplicates(table(spark, [(1, a), (2, b)]), "fn_id", "full_code")
     assert [(r.a, r.b, r.similarity) for r in links.collect()] == [(1, 2, 0.6)]
+
+
+def test_marks_never_differ_more_than_the_sets():
+    rng = random.Random(8)
+    for _ in range(300):
+        a = {rng.randrange(1 << 64) for _ in range(rng.randrange(1, 120))}
+        b = set(rng.sample(sorted(a), rng.randrange(len(a) + 1))) | {rng.randrange(1 << 64) for _ in range(rng.randrange(60))}
+        x, y = (neardup.marks(np.array(sorted(s), np.uint64)).view(np.uint64).tolist() for s in (a, b))
+        assert sum((p ^ q).bit_count() for p, q in zip(x, y)) <= len(a ^ b)
+
+
+def test_unlike_pairs_of_a_region_are_not_moved_and_only_results_are_kept(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"v{k}" for k in range(80)]
+    rows = [(k, edited(rng, base, 12)) for k in range(30)]  # about half of the shingles are shared, 0.9 is asked for
+    sizes, made = [], []
+    keep = neardup._candidates
+    monkeypatch.setattr(neardup, "_candidates", lambda *a: [sizes.append(t.count()) or t for t in keep(*a)])
+    monkeypatch.setattr(neardup, "cut", lambda df, *a: made.append(cut(df, *a)) or made[-1])
+    members, links = neardup.near_duplicates(table(spark, rows), "fn_id", "full_code", least=(9, 10))
+    assert {(r.a, r.b) for r in links.collect()} == brute(rows, 9, 10)
+    assert sum(sizes) < 40  # of 435 pairs, nearly all of which share a region
+    paths = [f.rsplit("/", 1)[0].removeprefix("file:").replace("///", "/") for t in made for f in t.inputFiles()[:1]]
+    assert sum(os.path.exists(p) for p in paths) == 2  # members and links
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+    before = files()
+    assert len(cut(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count()).inputFiles()) > 0
+    assert not files() - before and spark.conf.get(CLEAN, None) is None
